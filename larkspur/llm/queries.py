@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import byte_bpe, chat, lines, mixture, quality, urls, warc
+from larkspur.llm import byte_bpe, chat, lines, mixture, quality, topk, urls, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -52,9 +52,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), RANKS, PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_mixture": op4_mixture, "op5_chat": op5_chat, "op7_line_dedup": op7_line_dedup, "op8_byte_bpe": op8_byte_bpe,
+        "op9_top_k": op9_top_k,
     }
 
 
@@ -132,4 +137,10 @@ x as (select b.source, b.line from b join h on b.source is not distinct from h.s
 k as (select l.*, x.line is not null as gone, regexp_matches(l.line, '[^\x20\x09-\x0D]') as worded from l left join x on l.source is not distinct from x.source and l.line = x.line),
 a as (select doc_id, count(*) filter (worded) as n_lines, count(*) filter (gone) as n_dropped, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as kept from k group by doc_id)
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped, length(kept)::bigint as kept_chars, sha256(kept) as kept_sha256 from documents d left join a using (doc_id)""",
+        "op9_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q from embeddings
+    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20""",
     }
