@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import byte_bpe, chat, lines, mixture, quality, topk, urls, warc
+from larkspur.llm import byte_bpe, chat, lines, mixture, quality, substrings, topk, urls, warc
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -56,10 +56,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_mixture": op4_mixture, "op5_chat": op5_chat, "op7_line_dedup": op7_line_dedup, "op8_byte_bpe": op8_byte_bpe,
-        "op9_top_k": op9_top_k,
+        "op9_top_k": op9_top_k, "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -143,4 +147,14 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::doub
 s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 20 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20""",
+        "op10_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+h as (select doc_id, i, md5(list_aggregate(w[i:i + 49], 'string_agg', ' ')) as k from g),
+m as (select k, min(doc_id) as low from h group by k),
+r as (select distinct doc_id, unnest(range(i, i + 50)) as j from h join m using (k) where low < doc_id),
+x as (select doc_id, list(j) as gone, count(*) as n from r group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+    sha256(coalesce(list_aggregate(list_filter(w, lambda v, j: n is null or not list_contains(gone, j)), 'string_agg', ' '), '')) as kept_sha256
+from d left join x using (doc_id)""",
     }

@@ -84,10 +84,10 @@ class Block:
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """``texts``: an Arrow string array; null counts as empty."""
+    """``texts``: an Arrow array of strings, or of their UTF-8 bytes; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts if pa.types.is_large_binary(texts.type) else texts.fill_null("").cast(pa.large_string())
     n = len(texts)
     _, at, raw = texts.buffers()
     bounds = np.frombuffer(at, dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
