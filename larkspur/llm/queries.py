@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import byte_bpe, chat, lines, mixture, quality, substrings, topk, urls, warc
+from larkspur.llm import byte_bpe, chat, lines, mixture, neardup, quality, substrings, topk, urls, warc
+from larkspur.session import ship_package
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +45,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_turns(turns.unionByName(extra)))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
@@ -62,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_url_filter": op1_url_filter, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_mixture": op4_mixture, "op5_chat": op5_chat, "op7_line_dedup": op7_line_dedup, "op8_byte_bpe": op8_byte_bpe,
+        "op1_url_filter": op1_url_filter, "op2_quality_rules": op2_quality_rules, "op3_warc": op3_warc, "op4_mixture": op4_mixture, "op5_chat": op5_chat, "op6_near_dedup": op6_near_dedup, "op7_line_dedup": op7_line_dedup, "op8_byte_bpe": op8_byte_bpe,
         "op9_top_k": op9_top_k, "op10_substring_dedup": op10_substring_dedup,
     }
 
