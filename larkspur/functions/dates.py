@@ -230,14 +230,19 @@ def date_add(x: Col, n: Col | int | str, unit: str = "DAY", sign: int = 1) -> Co
     amount = F.lit(n) if isinstance(n, (int, str)) else col(n)
     numbers = F.regexp_extract_all(amount.cast("string"), F.lit(r"(\d+)"), 1)
     minus = F.when(amount.cast("string").startswith("-"), -sign).otherwise(sign)
+    months = F.lit(0)
     for k, part in enumerate(parts):
         # Fewer numbers than parts fill from the right.
         at = F.size(numbers) - len(parts) + k
         text = F.when(at >= 0, F.get(numbers, F.greatest(at, F.lit(0))))
         if part == "microsecond":
             text = F.rpad(text, 6, "0")
-        t = _add(t, part, F.coalesce(text.try_cast("bigint"), F.lit(0)) * minus)
-    return t
+        number = F.coalesce(text.try_cast("bigint"), F.lit(0)) * minus
+        if unit.upper() == "YEAR_MONTH":
+            months = months + number * (12 if part == "year" else 1)
+        else:
+            t = _add(t, part, number)
+    return _add(t, "MONTH", months) if unit.upper() == "YEAR_MONTH" else t
 
 
 def date_sub(x: Col, n: Col | int | str, unit: str = "DAY") -> Column:

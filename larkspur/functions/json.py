@@ -20,7 +20,12 @@ from pyspark.sql.types import DataType, LongType, StringType
 from larkspur.functions.text import Col, _text, col
 
 _STEP = re.compile(r'\s*(?:\.\s*(?:"((?:[^"\\]|\\.)*)"|(\*)|([^\s.\[\]*"]+))|\[\s*(?:(\*)|(-?\d+|last(?:\s*-\s*\d+)?)(?:\s+to\s+(-?\d+|last(?:\s*-\s*\d+)?))?)\s*\]|(\*\*))')
-_MISSING = object()
+
+
+class _MISSING:
+    """Stands for a document that is NULL or no JSON; a class, so that workers see the same one."""
+
+
 
 
 def parse_path(path: str) -> list[tuple]:

@@ -68,7 +68,7 @@ def concat_ws(sep: Column | str, *parts: Col) -> Column:
     if isinstance(sep, str):
         return F.concat_ws(sep, *[_text(p) for p in parts])
     items = F.array_compact(F.array(*[_text(p) for p in parts]))
-    joined = F.aggregate(F.slice(items, 2, 2147483647), F.coalesce(F.get(items, F.lit(0)), F.lit("")), lambda a, x: F.concat(a, sep, x))
+    joined = F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(1))), F.coalesce(F.get(items, F.lit(0)), F.lit("")), lambda a, x: F.concat(a, sep, x))
     return F.when(sep.isNotNull(), F.when(F.size(items) == 0, "").otherwise(joined))
 
 

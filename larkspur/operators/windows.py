@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import Col, col
@@ -28,7 +28,7 @@ def lead(x: Col, window: WindowSpec, offset: int = 1, default: object = None, ig
         return F.lead(col(x), offset, default).over(window)
     if offset == 0:
         return col(x)
-    frame = window.rowsBetween(1, 2147483647) if offset > 0 else window.rowsBetween(-2147483648, -1)
+    frame = window.rowsBetween(1, Window.unboundedFollowing) if offset > 0 else window.rowsBetween(Window.unboundedPreceding, -1)
     if offset > 0:
         found = F.nth_value(col(x), offset, True).over(frame)
     else:
@@ -57,7 +57,7 @@ def ntile(buckets: Column | int, window: WindowSpec) -> Column:
         if buckets < 1:
             raise ValueError("NTILE takes a positive number")
         return F.ntile(buckets).over(window).cast("bigint")
-    total = F.count(F.lit(1)).over(window.rowsBetween(-2147483648, 2147483647))
+    total = F.count(F.lit(1)).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     i = F.row_number().over(window) - 1
     size, extra = F.floor(total / buckets), total % buckets
     return F.when(buckets.isNull(), None).when(buckets < 1, F.raise_error("NTILE takes a positive number").cast("bigint")).when(i < extra * (size + 1), F.floor(i / (size + 1)) + 1).otherwise(F.floor((i - extra) / F.greatest(size, F.lit(1))) + 1).cast("bigint")
@@ -68,7 +68,7 @@ def rows_frame(function: str, x: Col, before: Column, after: Column, window: Win
 
     The partition's values are gathered once for each row's frame, so use it where offsets truly vary.
     """
-    whole = window.rowsBetween(-2147483648, 2147483647)
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     items = F.collect_list(F.struct(col(x).alias("v"))).over(whole)
     i = F.row_number().over(window)
     start = F.greatest(i - before.cast("int"), F.lit(1))

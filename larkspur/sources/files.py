@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import pandas as pd
@@ -20,8 +21,8 @@ def load_text(spark: SparkSession, path: str, schema: str, delimiter: str = "|",
     A row that does not fit goes to ``errors_to`` as its raw line; more of them than ``max_errors``
     is a ``LoadError``. Text longer than its varchar(n) column is cut, or counts as an error.
     """
-    want = spark.createDataFrame([], schema).schema
-    widths = {f.name: int(str(f.dataType.simpleString())[8:-1]) for f in want.fields if f.dataType.simpleString().startswith("varchar(")}
+    want = T.StructType.fromDDL(schema)
+    widths = {f.name: int(re.sub(r"\D", "", f.dataType.simpleString())) for f in want.fields if isinstance(f.dataType, (T.CharType, T.VarcharType))}
     plain = T.StructType([T.StructField(f.name, T.StringType() if f.name in widths else f.dataType) for f in want.fields])
     marked = T.StructType([*plain.fields, T.StructField("_bad", T.StringType())])
     options = {"sep": delimiter, "quote": enclosed, "escape": escape, "nullValue": null, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "emptyValue": ""}
@@ -61,7 +62,7 @@ _CODES = {T.ByteType: "b", T.ShortType: "h", T.IntegerType: "i", T.LongType: "q"
 
 def load_binary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Fixed-width little-endian rows of numbers and char(n); the type's smallest integer (for floats, NaN) is NULL."""
-    want = spark.createDataFrame([], schema).schema
+    want = T.StructType.fromDDL(schema)
     kinds = [f.dataType for f in want.fields]
     codes = [_CODES.get(type(k)) or f"{k.simpleString()[5:-1]}s" for k in kinds]
     layout = struct.Struct("<" + "".join(codes))
@@ -87,7 +88,7 @@ def load_parquet(spark: SparkSession, path: str, schema: str | None = None) -> D
         raise LoadError(f"nested columns are not supported: {', '.join(nested)}")
     if schema is None:
         return df
-    want = spark.createDataFrame([], schema).schema
+    want = T.StructType.fromDDL(schema)
     return df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, want.fields, strict=True)])
 
 
