@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,35 +11,23 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import cut, shared_folder
+
+__all__ = ["WORD", "cut", "file_system", "keep", "map_arrow", "quoted", "release", "shared_folder"]
+
 #: Words of every contract: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in ``spark.checkpoint.dir``.
+def release(spark: SparkSession) -> None:
+    """Lets the driver's cleaner drop the shuffle files of finished steps; call it after a cut.
 
-    Where that is unset (tests on one machine), a temporary folder is set as the checkpoint folder.
+    Twice: what the first collection frees keeps other plans reachable until then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base:
-        base = base if ":" in base.split("/", 1)[0] else "file://" + base
-    return f"{base.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lost executors cost no recomputation of what led to it."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner drop the shuffle files of finished steps; call it after a cut."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def file_system(url: str) -> tuple[pafs.FileSystem, str]:
@@ -68,5 +55,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
                     yield out
                 elif out is not None:
                     yield from out
+                del batch, out
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -42,17 +42,16 @@ def _row_tags(block: Block, words: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
     return out[0], out[1]
 
 
-def selected(block: Block, hashes: np.ndarray, seed: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the ``seed``-word windows that are smallest in some stretch of ``length`` words, and their hashes.
+def owners(block: Block, hashes: np.ndarray, seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all ``length``-word windows, of the ``seed``-word window that is selected in each, and the seed windows' hashes.
 
-    Of equal hashes in a stretch the last one counts.
+    Selected is the smallest hash among a window's seed windows; of equal ones the last.
     """
     n = len(hashes)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     small = window_hashes(hashes, seed)
     stretch = length - seed + 1
-    m = len(small) - stretch + 1
     best, where = small.copy(), np.arange(len(small))
     have = 1
     while have < stretch:  # doubling minima; the later one wins ties
@@ -61,9 +60,8 @@ def selected(block: Block, hashes: np.ndarray, seed: int, length: int) -> tuple[
         later = b <= a
         best, where = np.where(later, b, a), np.where(later, where[step:], where[:-step])
         have += step
-    begin = np.flatnonzero(block.left()[:m] >= length)
-    at = np.unique(where[begin])
-    return at, small[at]
+    begin = np.flatnonzero(block.left()[: len(where)] >= length)
+    return begin, where[begin], small
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -84,7 +82,9 @@ def _probe(docs: DataFrame, length: int, seed: int) -> DataFrame:
             tag = (t0 & np.uint64(0xFFFFFFFF)).astype(np.int64)
             ids = batch.column(0).slice(block.first, block.n)
             enough = np.flatnonzero(block.counts() >= length)
-            at, key = selected(block, words[0], seed, length)
+            _, at, small = owners(block, words[0], seed, length)
+            at = np.unique(at)
+            key = small[at]
             text = np.searchsorted(block.word_at, at, side="right") - 1
             position = at - block.word_at[text]
             rows = np.concatenate([enough, text])
@@ -139,23 +139,21 @@ def _unpacked(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 def _windows(candidates: DataFrame, length: int, seed: int) -> DataFrame:
-    """Rows (key, check, doc, at) of all full-length windows that hold one of a text's repeated selected windows."""
+    """Rows (key, check, doc, at) of all full-length windows whose selected window is repeated; key and check have 96 bits."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, texts in _unpacked(batch.column(2)):
             for block in blocks(texts):
                 words = word_hashes(block, 0), word_hashes(block, 1)
-                n = len(words[0])
-                edge = np.zeros(n + 2, dtype=np.int32)
+                known = np.zeros(len(words[0]) + 1, dtype=bool)
                 for i in range(block.n):
-                    at = np.asarray(batch.column(3)[first + block.first + i].values) + block.word_at[i]
-                    np.add.at(edge, np.maximum(at - (length - seed), block.word_at[i]), 1)
-                    np.add.at(edge, at + 1, -1)
-                begin = np.flatnonzero((np.cumsum(edge[:n]) > 0) & (block.left() >= length))
+                    known[np.asarray(batch.column(3)[first + block.first + i].values) + block.word_at[i]] = True
+                begin, owner, _ = owners(block, words[0], seed, length)
+                begin = begin[known[owner]]
                 keys = [window_hashes(w, length, f)[begin] for f, w in enumerate(words)]
                 text = np.searchsorted(block.word_at, begin, side="right") - 1
                 tags = batch.column(1).to_numpy(zero_copy_only=False)[first + block.first + text]
-                yield pa.RecordBatch.from_arrays([_long(keys[0]), _long(keys[1]), batch.column(0).take(pa.array(first + block.first + text)), pa.array(((begin - block.word_at[text]) << 32) | tags)], names=["key", "check", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([_long(keys[0]), pa.array((keys[1] >> np.uint64(32)).astype(np.int64)), batch.column(0).take(pa.array(first + block.first + text)), pa.array(((begin - block.word_at[text]) << 32) | tags)], names=["key", "check", "doc", "at"])
 
     return map_arrow(candidates.select("doc", "tag", "packed", "places"), run, "key bigint, check bigint, doc bigint, at bigint")
 
