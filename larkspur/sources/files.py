@@ -65,15 +65,16 @@ def load_binary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     want = T.StructType.fromDDL(schema)
     kinds = [f.dataType for f in want.fields]
     codes = [_CODES.get(type(k)) or f"{k.simpleString()[5:-1]}s" for k in kinds]
-    layout = struct.Struct("<" + "".join(codes))
+    layout = "<" + "".join(codes)
+    width = struct.calcsize(layout)
     lowest = [-(1 << (8 * struct.calcsize(c) - 1)) if c in "bhiq" else None for c in codes]
     names = [f.name for f in want.fields]
 
     def run(batches):
         for frame in batches:
             for content in frame["content"]:
-                for begin in range(0, len(content), layout.size * 65_536):
-                    rows = [tuple(None if v == low or v != v else v.rstrip(b"\0 ").decode() if isinstance(v, bytes) else v for v, low in zip(row, lowest, strict=True)) for row in layout.iter_unpack(content[begin : begin + layout.size * 65_536])]
+                for begin in range(0, len(content), width * 65_536):
+                    rows = [tuple(None if v == low or v != v else v.rstrip(b"\0 ").decode() if isinstance(v, bytes) else v for v, low in zip(row, lowest, strict=True)) for row in struct.iter_unpack(layout, content[begin : begin + width * 65_536])]
                     yield pd.DataFrame(rows, columns=names, dtype=object)
 
     out = ", ".join(f"`{f.name}` {'string' if c[-1] == 's' else f.dataType.simpleString()}" for f, c in zip(want.fields, codes, strict=True))
