@@ -10,7 +10,7 @@ so no candidate survives that level unmarked.
 
 Documents whose words equal those of a document with a smaller id are settled as a whole, so groups
 of exact copies bring no windows. Everything else is keyed by hashes: map-side minima are taken
-before each shuffle, and look-ups of hot keys are salted. No document or window list is collected;
+before each shuffle, and look-ups of hot keys are split (adaptive skew join). No document or window list is collected;
 texts are shuffled once for the windows of candidate documents and once for the result.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import cut, map_arrow, quoted, release
 from larkspur.llm.words import Block, blocks, mix, window_hashes, word_hashes
 
-LENGTH, SALTS = 50, 8
+LENGTH = 50
 
 
 def _row_tags(block: Block, words: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +102,13 @@ def _probe(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs in more than one document, with ``low``, the smallest such id."""
+    """The rows whose key occurs in more than one document, with ``low``, the smallest such id.
+
+    Minima are combined map-side; in the join a key that very many rows share is split by adaptive
+    execution, since only the rows' side can be skewed.
+    """
     low = rows.groupBy(*keys).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(low, [*keys, "salt"]).drop("salt")
+    return rows.join(low, keys)
 
 
 _TEXTS = "doc bigint, tag bigint, packed binary"
