@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.session import cut, shared_folder
 
-__all__ = ["WORD", "cut", "file_system", "keep", "map_arrow", "quoted", "release", "shared_folder"]
+__all__ = ["WORD", "cut", "file_system", "free", "keep", "map_arrow", "quoted", "release", "shared_folder"]
 
 #: Words of every contract: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,18 @@ def keep(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

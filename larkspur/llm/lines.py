@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, keep, quoted
+from larkspur.llm.common import cut, free, quoted
 
 RATIO, MIN_PAGES = 0.1, 5
 _TAG = "\u0001"
@@ -56,15 +56,15 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     The per-host arrays are written first, so the join with the pages broadcasts them exactly when
     their measured size allows it, and else sorts and splits hot hosts (adaptive skew join).
     """
-    table = cut(boilerplate(pages, host_col, text_col, ratio, min_pages)).select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
+    h, k, t, n = free(pages, "_host", "_keys", "_text", "_n")
+    table = cut(boilerplate(pages, host_col, text_col, ratio, min_pages)).select(F.col("host").alias(h), F.col("keys").alias(k))
     host, text = F.col(quoted(host_col)), F.col(quoted(text_col))
-    joined = pages.join(table, host.eqNullSafe(F.col("_host")), "left")
-    good = F.filter(_lines(text), lambda x: _blank(x) | ~F.array_contains(F.col("_keys"), _key(host, x)))
-    kept = F.when(F.col("_keys").isNull(), text).otherwise(F.array_join(good, "\n"))
-    worded = lambda t: F.coalesce(F.size(F.filter(_lines(t), lambda x: ~_blank(x))), F.lit(0)).cast("long")
-    out = keep(joined, {"_text": kept})
-    columns = [F.col("_text").alias(c) if c == text_col else F.col(quoted(c)) for c in pages.columns if not (counts and c.lower() in ("n_lines", "n_dropped"))]
+    joined = pages.join(table, host.eqNullSafe(F.col(h)), "left")
+    good = F.filter(_lines(text), lambda x: _blank(x) | ~F.array_contains(F.col(k), _key(host, x)))
+    kept = F.when(F.col(k).isNull(), text).otherwise(F.array_join(good, "\n"))
+    worded = lambda x: F.when(x.isNull(), 0).otherwise(F.size(F.filter(_lines(x), lambda y: ~_blank(y)))).cast("long")
+    out = joined.select(*[F.col(quoted(c)) for c in pages.columns], kept.alias(t), *([worded(text).alias(n)] if counts else []))
+    columns = [F.col(t).alias(c) if c == text_col else F.col(quoted(c)) for c in pages.columns if not (counts and c.lower() in ("n_lines", "n_dropped"))]
     if counts:
-        out = keep(joined, {"_text": kept, "_n": F.when(text.isNull(), 0).otherwise(worded(text)).cast("long")})
-        columns += [F.col("_n").alias("n_lines"), (F.col("_n") - F.when(F.col("_text").isNull(), 0).otherwise(worded(F.col("_text")))).cast("long").alias("n_dropped")]
+        columns += [F.col(n).alias("n_lines"), (F.col(n) - worded(F.col(t))).alias("n_dropped")]
     return out.select(*columns)

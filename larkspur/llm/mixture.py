@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, cut, keep, quoted
+from larkspur.llm.common import WORD, cut, free, keep, quoted
 
 BLOCKS, SHARDS, MAX_SOURCES, MAX_REPEATS = 16_384, 16, 100_000, 3
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -173,17 +173,18 @@ def mix(docs: DataFrame, plan: Plan, source_col: str = "source", id_col: str = "
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = [(plan.names[k], plan.sizes[k], plan.targets[k], plan.n_blocks[k], plan.passes[k], plan.edge[k], plan.last[k][0] if plan.last[k] else -1, plan.last[k][1] if plan.last[k] else None, plan.shard[k]) for k in range(len(plan.names))]
-    table = _table(docs, rows, f"_source string, _size bigint, _target double, _blocks int, _passes int, _edge int, _place bigint, _id {kind}, _shards array<int>")
-    source = F.col(quoted(source_col)).cast("string")
-    joined = docs.join(F.broadcast(table), source.eqNullSafe(F.col("_source")), "left")
+    names = free(docs, "_source", "_size", "_target", "_blocks", "_passes", "_edge", "_place", "_id", "_shards")
+    table = _table(docs, rows, ", ".join(f"{n} {t}" for n, t in zip(names, ("string", "bigint", "double", "int", "int", "int", "bigint", kind, "array<int>"), strict=True)))
+    p_source, p_size, p_target, p_blocks, p_passes, p_edge, p_place, p_id, p_shards = map(F.col, names)
+    joined = docs.join(F.broadcast(table), F.col(quoted(source_col)).cast("string").eqNullSafe(p_source), "left")
     place = _place(id_col, seed)
-    block = _block(place, F.col("_blocks"))
+    block = _block(place, p_blocks)
     ident = F.col(quoted(id_col))
-    upto = (place < F.col("_place")) | ((place == F.col("_place")) & (ident.isNull() | F.coalesce(ident <= F.col("_id"), F.lit(False))))
-    partial = (block < F.col("_edge")) | ((block == F.col("_edge")) & upto)
-    picks = [F.when((F.col("_passes") > k) | ((F.col("_passes") == k) & partial), F.get(F.col("_shards"), F.lit(k) * F.col("_blocks") + block)) for k in range(MAX_REPEATS)]
-    out = keep(joined, {"size": word_count(F.col(quoted(text_col))), "source_size": F.col("_size"), "target": F.col("_target"), "copies": F.array_compact(F.array(*picks))})
-    return out.select(*[c for c in out.columns if c not in table.columns])
+    upto = (place < p_place) | ((place == p_place) & (ident.isNull() | F.coalesce(ident <= p_id, F.lit(False))))
+    partial = (block < p_edge) | ((block == p_edge) & upto)
+    picks = [F.when((p_passes > k) | ((p_passes == k) & partial), F.get(p_shards, F.lit(k) * p_blocks + block)) for k in range(MAX_REPEATS)]
+    out = keep(joined, {"size": word_count(F.col(quoted(text_col))), "source_size": p_size, "target": p_target, "copies": F.array_compact(F.array(*picks))})
+    return out.select(*[c for c in out.columns if c not in names])
 
 
 def write_order(mixed: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
@@ -193,5 +194,6 @@ def write_order(mixed: DataFrame, id_col: str = "doc_id", seed: int = 7) -> Data
     """
     names = [c for c in mixed.columns if c not in ("copies", "shard", "copy")]
     rows = mixed.select(*[F.col(quoted(c)) for c in names], F.posexplode("copies").alias("copy", "shard"))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed + 1), F.col("shard"), F.col("copy"), F.col(quoted(id_col))))
-    return rows.repartitionByRange("shard", "_order").sortWithinPartitions("shard", "_order").drop("_order")
+    (order,) = free(rows, "_order")
+    rows = rows.withColumn(order, F.xxhash64(F.lit(seed + 1), F.col("shard"), F.col("copy"), F.col(quoted(id_col))))
+    return rows.repartitionByRange("shard", order).sortWithinPartitions("shard", order).drop(order)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keep, quoted
+from larkspur.llm.common import free, keep, quoted
 
 BUCKETS, SIZES, SCALE, MAX_LABELLED = 4096, (3, 4), 1_000_000, 100_000
 _BASE, _PRIME = 1009, 2_147_483_629
@@ -140,11 +140,11 @@ def filter_urls(pages: DataFrame, model: UrlModel, rules: tuple[tuple[str, str,
     if len(rules) > 1000:
         raise ValueError("filter_urls compiles at most 1000 rules into the plan")
     url = F.col(quoted(url_col))
-    base = pages.withColumn("_host", host_of(url)).withColumn("_path", path_of(url))
+    h, p, s = free(pages, "_host", "_path", "_score")
+    base = pages.withColumn(h, host_of(url)).withColumn(p, path_of(url))
     weights = f"cast(split('{','.join(map(str, model.weights))}', ',') as array<int>)"
     size = len(model.weights)
-    score = F.expr(f"{model.bias}L + {_grams('_host', _HOST_MARK, size, weights)} + {_grams('_path', _PATH_MARK, size, weights)}")
-    name, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
-    scored = base.withColumn("_score", score)
-    judged = keep(scored, {"host": F.col("_host"), "path": F.col("_path"), "rule": name, "verdict": F.coalesce(verdict, F.when(F.col("_score") > 0, "block").otherwise("allow")), "score": F.col("_score")})
-    return judged.drop("_host", "_path", "_score")
+    score = F.expr(f"{model.bias}L + {_grams(h, _HOST_MARK, size, weights)} + {_grams(p, _PATH_MARK, size, weights)}")
+    name, verdict = rule_of(F.col(h), F.col(p), rules)
+    judged = keep(base.withColumn(s, score), {"host": F.col(h), "path": F.col(p), "rule": name, "verdict": F.coalesce(verdict, F.when(F.col(s) > 0, "block").otherwise("allow")), "score": F.col(s)})
+    return judged.drop(h, p, s)
