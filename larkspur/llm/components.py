@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut
 
-SALTS = 8
 _EDGES = "a bigint, b bigint"
 
 
@@ -43,9 +42,8 @@ def _forest(edges: DataFrame) -> DataFrame:
 
 
 def _with_least(rows: DataFrame) -> DataFrame:
-    """Rows (u, v) with ``least``, the smallest v of u; hot nodes are joined under a salt."""
-    least = rows.groupBy("u").agg(F.min("v").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).drop("salt")
+    """Rows (u, v) with ``least``, the smallest v of u; adaptive execution splits the rows of a hot u in the join."""
+    return rows.join(rows.groupBy("u").agg(F.min("v").alias("least")), "u")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -30,13 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, map_arrow, quoted, release
+from larkspur.llm.common import cut, free, map_arrow, quoted, release
 from larkspur.llm.components import components
 from larkspur.llm.substrings import _long, _row_tags, _unpacked
 from larkspur.llm.words import Block, blocks, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
-BUCKET, RUN, NEAR, RECALL, SALTS = 512, 4096, 16, 0.99, 16
+BUCKET, RUN, NEAR, RECALL = 512, 4096, 16, 0.99
 #: Largest share of differing bits that is verified: over three standard deviations above the mean at the similarity limit.
 _SPREAD = 3.2
 
@@ -287,16 +287,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     release(spark)
     roots = cut(roots)
     # Copies of one word sequence take the class of the smallest id among them.
-    repeated = texts.where("copies > 1").select("h0", "h1", F.col("doc").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    firsts = narrow.select("doc", "h0", "h1", "n").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(repeated, ["h0", "h1", "salt"], "left")
+    # Only the documents' side can be skewed, and adaptive execution splits it.
+    repeated = texts.where("copies > 1").select("h0", "h1", F.col("doc").alias("first"))
+    firsts = narrow.select("doc", "h0", "h1", "n").join(repeated, ["h0", "h1"], "left")
     named = firsts.select("doc", F.when(F.col("n") > 0, F.coalesce("first", "doc")).otherwise(F.col("doc")).alias("first"), (F.col("n") > 0).alias("worded"))
-    spread = named.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    salted = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = spread.join(salted, (spread["first"] == salted["node"]) & (spread["salt"] == salted["salt"]), "left")
+    joined = named.join(roots, F.col("first") == F.col("node"), "left")
     return joined.select(F.col("doc").alias(id_col), F.when(F.col("doc").isNull(), None).when(F.col("worded"), F.coalesce("root", "first")).otherwise(F.col("doc")).alias("class_id"))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each class: that with the smallest id. Rows with a null id stay."""
-    gone = cut(near_classes(docs, similarity, id_col, text_col).where(F.col("class_id") < F.col(quoted(id_col))).select(F.col(quoted(id_col)).cast("long").alias("_gone")).distinct())
-    return docs.join(gone, F.col(quoted(id_col)).cast("long") == F.col("_gone"), "left_anti")
+    (name,) = free(docs, "_gone")
+    gone = cut(near_classes(docs, similarity, id_col, text_col).where(F.col("class_id") < F.col(quoted(id_col))).select(F.col(quoted(id_col)).cast("long").alias(name)).distinct())
+    return docs.join(gone, F.col(quoted(id_col)).cast("long") == F.col(name), "left_anti")
