@@ -26,8 +26,6 @@ from larkspur.llm.common import cut, file_system, quoted, shared_folder
 from larkspur.llm.urls import host_of, path_of
 
 MIN_REVISIT, BLOCK_CAPTURES, FLUSH_BYTES, DATE = 1000, 1000, 1 << 23, "2024-01-01T00:00:00Z"
-#: A duplicate's key is spread over so many salts when revisits are looked up.
-SALTS = 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,16 +40,15 @@ def with_references(pages: DataFrame, id_col: str, body_col: str, least: int = M
 
     Of equal payloads of at least ``least`` bytes the one with the largest id is the response; rows
     that share that id are all responses. Only (digest, id) pairs are aggregated, with map-side
-    maxima; the table of repeated digests is joined under a salt, so one payload that a third of
-    all rows share is spread over tasks.
+    maxima. In the join with the table of repeated digests only the pages' side can be skewed, and
+    adaptive execution splits the rows of one payload over tasks (or broadcasts the written table,
+    if its size allows).
     """
     rows = pages.withColumn("_digest", F.sha1(F.coalesce(F.col(body_col), F.lit("")))).withColumn("_bytes", F.coalesce(F.octet_length(F.col(body_col)), F.lit(0)).cast("long"))
     narrow = rows.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.max(F.col(id_col)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    copies = cut(narrow.select("_digest", "_first")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-    joined = salted.join(copies, ["_digest", "_salt"], "left")
+    joined = rows.join(cut(narrow.select("_digest", "_first")), "_digest", "left")
     refers = F.when((F.col("_bytes") >= least) & (F.col("_first").isNotNull()) & (F.col(id_col).isNull() | (F.col(id_col) != F.col("_first"))), F.col("_first"))
-    return joined.withColumn("_refers", refers).drop("_salt", "_first")
+    return joined.withColumn("_refers", refers).drop("_first")
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
