@@ -12,7 +12,9 @@ similarity of the shingle sets.
 A text with more than ``NEAR`` near signatures in a bucket passes only the nearest on, so a group of
 copies gives links in proportion to its size. The texts for which that happened go through the
 forest a second time, and there every near pair of *different* components is passed on and verified:
-what the limit left out is made up for, except where both are already in one class.
+what the limit left out is made up for, except where both are already in one class. So are pairs
+that fell into different runs of a dense bucket: its texts count as crowded too, and in the second
+pass such a bucket's pieces meet in bounded tasks, but for pieces of one class.
 
 Exact copies (equal words) are collapsed by a map-side minimum first. Text is shuffled only for the
 candidates' shingle sets, compressed; everything else is a few longs a row. Sorting by ranges splits
@@ -22,6 +24,7 @@ hot prefixes; nothing is collected but counts.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,64 +152,110 @@ def near_pairs(signs: np.ndarray, sizes: np.ndarray, group: np.ndarray | None, l
     return pairs[:, 0], pairs[:, 1], (np.concatenate(over) if over else none)
 
 
-def _candidates(texts: DataFrame, depth: int, trees: int, near: int | None, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that share a bucket and have near signatures; rows (a, null) tell texts with more than ``near``.
+_ROW = "doc bigint, s0 bigint, s1 bigint, n int"
 
-    ``texts``: doc, s0, s1, n and part (texts of one part are not paired; null: of none).
-    """
-    limit, parted = near_bits(similarity), "part" in texts.columns
+
+def _planted(texts: DataFrame, trees: int, depth: int) -> DataFrame:
+    """Each text once a trie: bucket (trie and prefix), key (its permuted bits), doc, s0, s1, n and part."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 rows = batch.slice(begin, 4096)
-                signs = np.stack([rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1)
-                keys = permuted_keys(signs, trees)
+                keys = permuted_keys(np.stack([rows.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1), trees)
                 for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, t, np.int32)), pa.array(keys[:, t]), *rows.columns], names=["tree", "key", *rows.schema.names])
+                    bucket = (keys[:, t] >> (64 - depth)) * 4096 + t
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys[:, t]), *rows.columns], names=["bucket", "key", *rows.schema.names])
+
+    return texts.select("doc", "s0", "s1", "n", "part").mapInArrow(plant, f"bucket bigint, key bigint, {_ROW}, part bigint")
+
+
+def _compared(rows: DataFrame, near: int | None, similarity: float, run: int) -> DataFrame:
+    """Near pairs (a, b) within each stretch of rows with one value of the first column, ``run`` rows at a time.
+
+    ``rows``: sorted by the first column within partitions; then any one column, doc, s0, s1, n and
+    part (equal parts are not paired; null: all are). Rows (a, null) tell texts that had more than
+    ``near`` near ones, or whose stretch was cut.
+    """
+    limit = near_bits(similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now = None
+        now, size, was_cut = None, 0, False
 
-        def compare() -> pa.RecordBatch | None:
+        def compare(is_cut: bool) -> pa.RecordBatch | None:
+            nonlocal size
             table = pa.Table.from_batches(held)
             held.clear()
-            if table.num_rows < 2:
-                return None
+            size = 0
             doc, s0, s1, n = (table.column(k).to_numpy() for k in (2, 3, 4, 5))
-            signs = np.stack([s0, s1], axis=1).view(np.uint64)
-            group = table.column(6).to_numpy() if parted else None
-            i, j, over = near_pairs(signs, n.astype(np.int64), group, limit, near, similarity)
+            group = None if table.column(6).null_count else table.column(6).to_numpy()
+            i, j, over = near_pairs(np.stack([s0, s1], axis=1).view(np.uint64), n.astype(np.int64), group, limit, near, similarity)
+            over = np.arange(len(doc)) if is_cut else over
             if not len(i) and not len(over):
                 return None
-            low, high = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-            other = pa.concat_arrays([pa.array(high, pa.int64()), pa.nulls(len(over), pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([low, doc[over]]), pa.int64()), other], names=["a", "b"])
+            other = pa.concat_arrays([pa.array(np.maximum(doc[i], doc[j]), pa.int64()), pa.nulls(len(over), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(doc[i], doc[j]), doc[over]]), pa.int64()), other], names=["a", "b"])
 
         for batch in batches:
-            bucket = (batch.column(1).to_numpy() >> (64 - depth)) * 4096 + batch.column(0).to_numpy()
+            bucket = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.diff(bucket)) + 1
             for begin, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
                 if begin == end:
                     continue
-                if bucket[begin] != now or sum(x.num_rows for x in held) >= RUN:
-                    if held and (out := compare()) is not None:
+                if bucket[begin] != now:
+                    if held and (out := compare(was_cut)) is not None:
                         yield out
-                    now = bucket[begin]
+                    now, was_cut = bucket[begin], False
                 while begin < end:
-                    size = min(end - begin, RUN - sum(x.num_rows for x in held))
-                    held.append(batch.slice(begin, size))
-                    begin += size
-                    if begin < end and (out := compare()) is not None:
-                        yield out
-        if held and (out := compare()) is not None:
+                    if size == run:
+                        was_cut = True
+                        if (out := compare(True)) is not None:
+                            yield out
+                    step = min(end - begin, run - size)
+                    held.append(batch.slice(begin, step))
+                    size += step
+                    begin += step
+        if held and (out := compare(was_cut)) is not None:
             yield out
 
-    columns = ["doc", "s0", "s1", "n"] + ["part"] * parted
-    planted = texts.select(*columns).mapInArrow(plant, "tree int, key bigint, doc bigint, s0 bigint, s1 bigint, n int" + ", part bigint" * parted)
-    found = planted.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key").mapInArrow(search, "a bigint, b bigint")
-    return found.distinct()
+    return rows.mapInArrow(search, "a bigint, b bigint").distinct()
+
+
+def _dense_pairs(planted: DataFrame, similarity: float) -> DataFrame | None:
+    """All near pairs of different parts in buckets of more than ``RUN`` texts; None if there are none.
+
+    A bucket is cut into pieces of about half a run: of one large part each, or of small parts
+    together (by hash, so about that size). Every piece meets every piece of the bucket but those of its own large part, so a part
+    that fills the bucket costs in proportion to its size, and a task sees two pieces at a time.
+    """
+    piece = RUN // 2
+    counts = cut(planted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k")))
+    dense = counts.groupBy("bucket").agg(F.sum("k").alias("all")).where(F.col("all") > RUN)
+    if dense.isEmpty():
+        return None
+    large = F.col("k") > piece
+    sized = counts.join(dense, "bucket").withColumn("cuts", F.ceil(F.when(large, F.col("k")).otherwise(F.col("all")) / piece).cast("int")).withColumn("owner", F.when(large, F.col("part")))
+    draw = F.when(F.col("owner").isNotNull(), F.pmod(F.xxhash64("doc"), F.col("cuts"))).otherwise(F.pmod(F.xxhash64("part"), F.col("cuts"))).cast("int")
+    rows = cut(planted.join(sized.select("bucket", "part", "cuts", "owner"), ["bucket", "part"]).withColumn("piece", F.xxhash64("owner", draw)))
+    pieces = rows.select("bucket", "piece", "owner").distinct()
+    biggest = counts.groupBy("bucket").agg(F.max_by("part", F.struct("k", "part")).alias("most"))
+    rest = pieces.join(biggest, "bucket").where("owner is null or owner <> most").select("bucket", F.col("piece").alias("p"), F.col("owner").alias("po"))
+    met = pieces.join(rest, "bucket").where("owner is null or po is null or owner <> po").select("bucket", F.least("p", "piece").alias("x"), F.greatest("p", "piece").alias("y")).distinct()
+    meeting = F.xxhash64("bucket", "x", "y").alias("meeting")
+    sides = met.select("bucket", meeting, F.explode(F.array_distinct(F.array("x", "y"))).alias("piece"))
+    grouped = rows.join(sides, ["bucket", "piece"]).select("meeting", "key", "doc", "s0", "s1", "n", "part")
+    return _compared(grouped.repartition("meeting").sortWithinPartitions("meeting"), None, similarity, sys.maxsize).where("b is not null")
+
+
+def _candidates(texts: DataFrame, depth: int, trees: int, near: int | None, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that share a bucket and have near signatures; rows (a, null) tell crowded texts.
+
+    ``texts``: doc, s0, s1, n and part (texts of one part are not paired; null: all are).
+    """
+    planted = _planted(texts, trees, depth)
+    # Keys begin with the prefix, so a bucket's rows lie together in the order of the trie; ranges split hot buckets.
+    return _compared(planted.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), near, similarity, RUN)
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -271,7 +320,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     worded = narrow.where("doc is not null and n > 0")
     texts = cut(worded.groupBy("h0", "h1").agg(F.min(F.struct("doc", "s0", "s1", "n")).alias("x"), F.count(F.lit(1)).alias("copies")).select("h0", "h1", "x.*", "copies"))
     depth, trees = forest_shape(texts.count(), similarity)
-    found = cut(_candidates(texts, depth, trees, NEAR, similarity))
+    found = cut(_candidates(texts.withColumn("part", F.lit(None).cast("bigint")), depth, trees, NEAR, similarity))
     release(spark)
     pairs, crowded = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("doc"))
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(crowded).distinct()
@@ -281,7 +330,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     roots = components(links)
     if not crowded.isEmpty():
         again = texts.join(crowded.distinct(), "doc", "left_semi").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("root", "doc"))
-        more = _candidates(cut(again.select("doc", "s0", "s1", "n", "part")), depth, trees, None, similarity)
+        again = cut(again.select("doc", "s0", "s1", "n", "part"))
+        more = _candidates(again, depth, trees, None, similarity).where("b is not null")
+        dense = _dense_pairs(_planted(again, trees, depth), similarity)
+        more = more if dense is None else more.union(dense).distinct()
         links = links.unionByName(cut(_verified(cut(more.join(pairs, ["a", "b"], "left_anti")), sets, similarity)))
         roots = components(links)
     release(spark)

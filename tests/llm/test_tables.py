@@ -266,3 +266,21 @@ def test_components(spark):
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert found == {x: root(x) for x in parent if x not in alone}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pieces_of_dense_buckets_meet(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 2).astype(np.int64)
+    flip = lambda k: (base ^ np.bitwise_or.reduce(np.left_shift(np.int64(1), rng.integers(0, 20, (k, 2))), axis=0)).tolist()
+    rows = [(i, *flip(3), 100, 1 if i < 300 else i) for i in range(340)] + [(1000 + i, *rng.integers(0, 1 << 62, 2).tolist(), 100, 1000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc long, s0 long, s1 long, n int, part long")
+    bits = {r[0]: (r[1], r[2], r[4]) for r in rows}
+    near = lambda x, y: (bits[x][0] ^ bits[y][0]).bit_count() + (bits[x][1] ^ bits[y][1]).bit_count() <= neardup.near_bits()
+    monkeypatch.setattr(neardup, "RUN", 64)
+    planted = neardup._planted(df, 2, 1)
+    buckets = defaultdict(list)
+    for r in planted.collect():
+        buckets[r["bucket"]].append(r["doc"])
+    want = {(x, y) for docs in buckets.values() if len(docs) > 64 for x in docs for y in docs if x < y and bits[x][2] != bits[y][2] and near(x, y)}
+    assert {tuple(r) for r in neardup._dense_pairs(planted, 0.8).collect()} == want and len(want) > 5000
+    assert neardup._dense_pairs(neardup._planted(df.limit(20), 2, 1), 0.8) is None
