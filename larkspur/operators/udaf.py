@@ -96,13 +96,13 @@ def distinct_count(x: Col) -> Column:
     return F.count_distinct(col(x))
 
 
-@scalar("MCS_ADD")
-def mcs_add(a: Col, b: Col) -> Column:
+@scalar("ADD_PAIR")
+def add_pair(a: Col, b: Col) -> Column:
     return col(a) + col(b)
 
 
-@scalar("MCS_ISNULL")
-def mcs_isnull(a: Col) -> Column:
+@scalar("IS_MISSING")
+def is_missing(a: Col) -> Column:
     return col(a).isNull()
 
 

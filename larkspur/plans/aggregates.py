@@ -167,4 +167,4 @@ def udaf_life_cycle(t: Tables) -> DataFrame:
 @plan("select s_suppkey, s_suppkey + s_nationkey as added, s_suppkey * 2 + 1 as doubled, false as missing from supplier")
 def udf_scalar_registry(t: Tables) -> DataFrame:
     udaf.register_sql(t.spark, "twice_plus_one", lambda x: None if x is None else 2 * x + 1, "bigint")
-    return t.supplier.select("s_suppkey", udaf.call("MCS_ADD", "s_suppkey", "s_nationkey").alias("added"), F.expr("twice_plus_one(s_suppkey)").alias("doubled"), udaf.call("MCS_ISNULL", "s_name").alias("missing"))
+    return t.supplier.select("s_suppkey", udaf.call("ADD_PAIR", "s_suppkey", "s_nationkey").alias("added"), F.expr("twice_plus_one(s_suppkey)").alias("doubled"), udaf.call("IS_MISSING", "s_name").alias("missing"))

@@ -110,6 +110,33 @@ def auto_increment(t: Tables) -> DataFrame:
     return with_auto_increment(t.orders.select("o_orderkey"), "id", 100, ["o_orderkey"])
 
 
+@plan("select 'region' as table_name, 2 as n_columns, count(*) as n_rows from region union all select 'nation', 3, count(*) from nation")
+def information_schema_tables(t: Tables) -> DataFrame:
+    return tables.tables_of(t.spark, t.folder, "region", "nation")
+
+
+@plan("select codec, count(*) as n from nation, (values ('none'), ('snappy'), ('lz4')) c(codec) group by 1")
+def write_compressed(t: Tables) -> DataFrame:
+    """Each compression that a table may have, written and read again."""
+    out = None
+    for codec in ("none", "snappy", "lz4"):
+        path = shared_folder(t.spark)
+        t.nation.write.option("compression", {"none": "uncompressed", "lz4": "lz4_raw"}.get(codec, codec)).parquet(path)
+        n = t.spark.read.parquet(path).groupBy(F.lit(codec).alias("codec")).agg(F.count(F.lit(1)).alias("n"))
+        out = n if out is None else out.union(n)
+    return out
+
+
+@plan("select o_orderstatus, count(*) as n from orders where o_orderkey % 2 = 0 group by 1")
+def insert_from_select(t: Tables) -> DataFrame:
+    table = VersionedTable(t.spark, shared_folder(t.spark))
+    table.create(t.orders.limit(0))
+    for r in (0, 2):
+        table.insert(t.orders.where(F.col("o_orderkey") % 4 == r))
+    table.compact()
+    return table.read().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 @plan("select * from (values ('region', 'r_regionkey', 1, 'int'), ('region', 'r_name', 2, 'string')) v(table_name, column_name, ordinal_position, data_type)")
 def information_schema_columns(t: Tables) -> DataFrame:
     return tables.columns_of(t.spark, t.folder, "region").drop("is_nullable")

@@ -1,13 +1,16 @@
-"""Changes of Parquet tables by copy on write: a table is a folder of versions, the newest complete one counts.
+"""Changes of Parquet tables by copy on write: a version is a list of folders, kept in one small file.
 
-A version is written beside the others and becomes current when its marker is written, so a reader
-never sees half a change, a failed one leaves the table as it was, and rollback points back.
+New folders are written beside the old ones and count once the list is replaced, so a reader never
+sees half a change, a failed one leaves the table as it was, and rollback points back. Inserts only
+add a folder; updates and deletes write the table anew.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,81 +47,86 @@ class VersionedTable:
         self._fs.rename(self._at(name + ".tmp"), self._at(name))
 
     def state(self) -> dict:
-        """The current version and the partitions that are disabled."""
+        """The current version's number, the folders that make it up, those of earlier versions, and the disabled partitions."""
         return json.loads(self._read_text("CURRENT"))
 
-    def _commit(self, **changes: object) -> None:
-        old = self.state() if self._fs.exists(self._at("CURRENT")) else {"version": 0, "disabled": [], "history": []}
+    def _commit(self, parts: list[str] | None = None, **changes: object) -> None:
+        old = self.state() if self._fs.exists(self._at("CURRENT")) else {"version": 0, "parts": [], "disabled": [], "history": []}
         new = old | changes
-        if new["version"] != old["version"]:
-            new["history"] = [*old["history"], old["version"]]
+        if parts is not None:
+            new |= {"version": old["version"] + 1, "parts": parts, "history": [*old["history"], old["parts"]]}
         self._write_text("CURRENT", json.dumps(new))
 
     def create(self, df: DataFrame) -> None:
         if self._fs.exists(self._at("CURRENT")):
             raise ValueError(f"Table {self.path} already exists")
-        self._write(df, 1)
+        self._commit([self._folder(df)])
 
-    def _write(self, df: DataFrame, version: int) -> None:
-        writer = df.write.mode("overwrite")
-        if self.partition_by:
-            writer = writer.partitionBy(self.partition_by)
-        writer.parquet(f"{self.path}/v{version}")
-        self._commit(version=version)
+    def _folder(self, df: DataFrame) -> str:
+        """Writes rows to a new folder, which no version has yet."""
+        name = f"part-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(self.partition_by) if self.partition_by else df.write
+        writer.parquet(f"{self.path}/{name}")
+        return name
 
-    def _next(self) -> int:
-        return max([self.state()["version"], *self.state()["history"]]) + 1
+    def _replace(self, df: DataFrame) -> None:
+        self._commit([self._folder(df)])
 
     def read(self, hidden: bool = False) -> DataFrame:
         """The current rows; those of disabled partitions only with ``hidden``."""
         state = self.state()
-        df = self.spark.read.parquet(f"{self.path}/v{state['version']}")
+        df = reduce(lambda a, b: a.unionByName(b), [self.spark.read.parquet(f"{self.path}/{p}") for p in state["parts"]])
         if state["disabled"] and not hidden:
             df = df.where(~F.col(self.partition_by).cast("string").isin(state["disabled"]) | F.col(self.partition_by).isNull())
         return df
 
-    def insert(self, rows: DataFrame) -> None:
+    def insert(self, rows: DataFrame, **changes: object) -> None:
+        """Adds a folder; nothing that is there is read or written again."""
         old = self.read(hidden=True)
-        self._write(old.unionByName(rows.select(*old.columns)), self._next())
+        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields])
+        self._commit([*self.state()["parts"], self._folder(typed)], **changes)
+
+    def compact(self) -> None:
+        """The same rows in one folder, after many inserts."""
+        self._replace(self.read(hidden=True))
 
     def truncate(self) -> None:
-        self._write(self.read(hidden=True).limit(0), self._next())
+        self._replace(self.read(hidden=True).limit(0))
 
     def delete(self, condition: Column) -> None:
         """Rows for which the condition is true go; NULL keeps them."""
-        self._write(self.read(hidden=True).where(~F.coalesce(condition, F.lit(False))), self._next())
+        self._replace(self.read(hidden=True).where(~F.coalesce(condition, F.lit(False))))
 
     def delete_join(self, other: DataFrame, on: Sequence[str]) -> None:
-        self._write(self.read(hidden=True).join(other.select(*on).distinct(), list(on), "left_anti"), self._next())
+        self._replace(self.read(hidden=True).join(other.select(*on).distinct(), list(on), "left_anti"))
 
     def update(self, assignments: dict[str, Column], condition: Column | None = None) -> None:
         df = self.read(hidden=True)
         test = F.coalesce(condition, F.lit(False)) if condition is not None else F.lit(True)
-        self._write(df.select(*[F.when(test, assignments[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in assignments else F.col(c) for c in df.columns]), self._next())
+        self._replace(df.select(*[F.when(test, assignments[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in assignments else F.col(c) for c in df.columns]))
 
     def update_join(self, other: DataFrame, on: Sequence[str], assignments: dict[str, Column]) -> None:
         """Rows with a match take ``assignments`` over columns of both sides (the other's as ``src_<name>``); keys of ``other`` are unique."""
         df = self.read(hidden=True)
         src = other.select(*[F.col(c).alias(f"src_{c}") for c in other.columns], F.lit(True).alias("_hit"))
         joined = df.join(src, [F.col(k) == F.col(f"src_{k}") for k in on], "left")
-        self._write(joined.select(*[F.when(F.col("_hit"), assignments[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in assignments else F.col(c) for c in df.columns]), self._next())
+        self._replace(joined.select(*[F.when(F.col("_hit"), assignments[c]).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in assignments else F.col(c) for c in df.columns]))
 
     def add_column(self, name: str, kind: str, default: object = None) -> None:
-        self._write(self.read(hidden=True).withColumn(name, F.lit(default).cast(kind)), self._next())
+        self._replace(self.read(hidden=True).withColumn(name, F.lit(default).cast(kind)))
 
     def drop_column(self, name: str) -> None:
-        self._write(self.read(hidden=True).drop(name), self._next())
+        self._replace(self.read(hidden=True).drop(name))
 
     def rename_column(self, old: str, new: str) -> None:
-        self._write(self.read(hidden=True).withColumnRenamed(old, new), self._next())
+        self._replace(self.read(hidden=True).withColumnRenamed(old, new))
 
     def rollback(self) -> None:
         """Back to the version before the last change."""
-        history = self.state()["history"]
-        if not history or history[-1] == 0:
+        state = self.state()
+        if not state["history"] or not state["history"][-1]:
             raise ValueError("nothing to roll back")
-        state = self.state() | {"version": history[-1], "history": history[:-1]}
-        self._write_text("CURRENT", json.dumps(state))
+        self._write_text("CURRENT", json.dumps(state | {"version": state["version"] + 1, "parts": state["history"][-1], "history": state["history"][:-1]}))
 
     def partitions(self) -> DataFrame:
         """Each partition with its rows, value range of the partition column and whether it is enabled."""
@@ -134,12 +142,12 @@ class VersionedTable:
 
     def drop_partition(self, *values: object) -> None:
         names = [str(v) for v in values]
-        self._write(self.read(hidden=True).where(~F.coalesce(F.col(self.partition_by).cast("string").isin(names), F.lit(False))), self._next())
+        self._replace(self.read(hidden=True).where(~F.coalesce(F.col(self.partition_by).cast("string").isin(names), F.lit(False))))
         self.enable(*values)
 
     def redistribute(self, files: int) -> None:
         """The same rows in so many evenly filled files."""
-        self._write(self.read(hidden=True).repartition(files), self._next())
+        self._replace(self.read(hidden=True).repartition(files))
 
     def drop(self) -> None:
         self._fs.delete(self._base, True)

@@ -78,6 +78,16 @@ def columns_of(spark: SparkSession, folder: str, *names: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean")
 
 
+def tables_of(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """The information schema's tables: table_name, n_columns, n_rows; counts come from the footers."""
+    out = None
+    for n in names or NAMES:
+        df = spark.read.parquet(f"{folder}/{n}.parquet")
+        row = df.agg(F.lit(n).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"), F.count(F.lit(1)).alias("n_rows"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def analyze(df: DataFrame, *columns: str, top: int = 5) -> DataFrame:
     """Column statistics: rows, nulls, distinct values (exact), and whether the column is unique; one aggregation."""
     names = columns or tuple(df.columns)

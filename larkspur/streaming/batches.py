@@ -20,8 +20,7 @@ def insert_stream(stream: DataFrame, table: VersionedTable, checkpoint: str) ->
 
     def append(batch: DataFrame, number: int) -> None:
         if table.state().get("batch", -1) < number:
-            table.insert(batch)
-            table._commit(batch=number)
+            table.insert(batch, batch=number)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
 
