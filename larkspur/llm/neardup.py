@@ -39,7 +39,7 @@ from larkspur.llm.substrings import _long, _row_tags, _unpacked
 from larkspur.llm.words import Block, blocks, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
-BUCKET, RUN, NEAR, RECALL = 512, 4096, 16, 0.99
+BUCKET, RUN, NEAR, RECALL = 512, 4096, 2, 0.99
 #: Largest share of differing bits that is verified: over three standard deviations above the mean at the similarity limit.
 _SPREAD = 3.2
 
