@@ -144,6 +144,12 @@ def union_promotes_numbers(t: Tables) -> DataFrame:
     return R.union(t.customer.where("c_custkey < 5").select(F.col("c_acctbal").alias("v")), t.supplier.where("s_suppkey < 5").select("s_suppkey"))
 
 
+@plan("select c_acctbal as v from customer union all select s_suppkey::double from supplier")
+def union_promotes_numbers_whole(t: Tables) -> DataFrame:
+    """``union_promotes_numbers`` over every row of both tables."""
+    return R.union(t.customer.select(F.col("c_acctbal").alias("v")), t.supplier.select("s_suppkey"))
+
+
 @plan(f"select * from {_U} intersect select * from {_V}")
 def intersect_distinct(t: Tables) -> DataFrame:
     return R.intersect(*_uv(t))
