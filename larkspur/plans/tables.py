@@ -137,6 +137,17 @@ def insert_from_select(t: Tables) -> DataFrame:
     return table.read().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@plan("select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1")
+def insert_from_select_whole(t: Tables) -> DataFrame:
+    """``insert_from_select`` of every order: four inserts by the hash of the key, so a row of any key is in one."""
+    table = VersionedTable(t.spark, shared_folder(t.spark))
+    table.create(t.orders.limit(0))
+    for r in range(4):
+        table.insert(t.orders.where(F.pmod(F.hash("o_orderkey"), F.lit(4)) == r))
+    table.compact()
+    return table.read().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @plan("select * from (values ('region', 'r_regionkey', 1, 'int'), ('region', 'r_name', 2, 'string')) v(table_name, column_name, ordinal_position, data_type)")
 def information_schema_columns(t: Tables) -> DataFrame:
     return tables.columns_of(t.spark, t.folder, "region").drop("is_nullable")
@@ -169,6 +180,17 @@ def stream_insert(t: Tables) -> DataFrame:
     return table.read()
 
 
+@plan("select n_nationkey, n_name from nation")
+def stream_insert_whole(t: Tables) -> DataFrame:
+    """``stream_insert`` of every nation."""
+    source, target, state = (shared_folder(t.spark) for _ in range(3))
+    t.nation.select("n_nationkey", "n_name").repartition(3).write.parquet(source)
+    table = VersionedTable(t.spark, target)
+    table.create(t.nation.limit(0).select("n_nationkey", "n_name"))
+    insert_stream(stream_parquet(t.spark, source, 1), table, state).awaitTermination()
+    return table.read()
+
+
 @plan("select time_bucket(interval 6 hour, ts) as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
 def window_tumbling_batch(t: Tables) -> DataFrame:
     """The batch form of the streaming window."""

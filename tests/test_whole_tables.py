@@ -15,3 +15,8 @@ def whole(spark, duck, name, n):
 
 def test_union_promotes_numbers_over_whole_tables(spark, duck):
     whole(spark, duck, "union_promotes_numbers_whole", "select (select count(*) from customer) + (select count(*) from supplier)")
+
+
+def test_every_order_and_every_nation_is_inserted(spark, duck):
+    whole(spark, duck, "insert_from_select_whole", "select count(distinct o_orderstatus) from orders")
+    whole(spark, duck, "stream_insert_whole", "select count(*) from nation")
