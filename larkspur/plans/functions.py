@@ -205,6 +205,14 @@ def date_time_of_day(t: Tables) -> DataFrame:
     return rows.select("event_id", D.extract("HOUR_MINUTE", x).alias("hm"), D.extract("DAY_SECOND", x).alias("ds"), D.time_to_sec(x).alias("sec"), D.time(x).alias("t"), D.time_format(x, "%h.%i %p").alias("tf"), D.timestampdiff("MONTH", x, D.date_add(x, 75)).alias("mo"), D.timestampdiff("MINUTE", F.lit("2024-01-01"), x).alias("mins"))
 
 
+@plan("""select event_id, (hour(ts) * 100 + minute(ts))::bigint as hm, (day(ts) * 1000000 + hour(ts) * 10000 + minute(ts) * 100 + second(ts))::bigint as ds, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::int as sec, strftime(ts, '%H:%M:%S') as t, strftime(ts, '%I.%M %p') as tf,
+datesub('month', ts, ts + interval 75 day)::bigint as mo, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::bigint as mins from events""")
+def date_time_of_day_whole(t: Tables) -> DataFrame:
+    """``date_time_of_day`` of every event, with the month difference computed by the SQL too."""
+    x = "ts"
+    return t.events.select("event_id", D.extract("HOUR_MINUTE", x).alias("hm"), D.extract("DAY_SECOND", x).alias("ds"), D.time_to_sec(x).alias("sec"), D.time(x).alias("t"), D.time_format(x, "%h.%i %p").alias("tf"), D.timestampdiff("MONTH", x, D.date_add(x, 75)).alias("mo"), D.timestampdiff("MINUTE", F.lit("2024-01-01"), x).alias("mins"))
+
+
 @plan("""select '12:05:09' as mk, null::varchar as bad, '-00:01:10' as st, '838:59:59' as top, '01:00:01' as td, '2024-03-01 00:30:00' as ad, '09:15:00' as sb, date '2024-02-29' as md, null::date as md0, 202503::bigint as pa, 14::bigint as pd, timestamp '2024-05-01 14:30:00' as sd, null::timestamp as sx, timestamp '2024-01-01 03:00:00' as tz""")
 def date_constructors(t: Tables) -> DataFrame:
     return t.constant(

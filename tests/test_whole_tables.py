@@ -20,3 +20,7 @@ def test_union_promotes_numbers_over_whole_tables(spark, duck):
 def test_every_order_and_every_nation_is_inserted(spark, duck):
     whole(spark, duck, "insert_from_select_whole", "select count(distinct o_orderstatus) from orders")
     whole(spark, duck, "stream_insert_whole", "select count(*) from nation")
+
+
+def test_time_of_day_of_every_event(spark, duck):
+    whole(spark, duck, "date_time_of_day_whole", "select count(*) from events")
