@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import cut
+
 HEAD, END = "### ", "\n</turn>\n"
 _CONTROL = r"(\\|###|</turn>)"
 #: A role ends at the first unescaped ``:\n``.
@@ -138,4 +140,51 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+def read_examples(examples: DataFrame) -> DataFrame:
+    """What the whole examples say of each conversation that has any: conv_id, loss_chars, loss_sha256 and formatted_chars, as ``read_back`` has them.
+
+    Loss is cut out of each example's own text, and the text is counted; only the loss is shuffled.
+    """
+    kind = examples.schema["conv_id"].dataType.simpleString()
+    inner = F.col("formatted").substr(F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
+    rows = examples.select("conv_id", "position", unescaped(inner).alias("loss"), F.char_length("formatted").cast("long").alias("chars"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, loss_chars, digest, chars = (), 0, hashlib.sha256(), 0
+        done: list[tuple] = []
+
+        def flush(type_: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [type_, pa.int64(), pa.string(), pa.int64()], strict=True)], names=["conv_id", *_READ[3:]])
+
+        type_ = None
+        for batch in batches:
+            type_ = batch.column(0).type
+            for conv, loss, n in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3)], strict=True):
+                if now != (conv,):
+                    if now:
+                        done.append((now[0], loss_chars, digest.hexdigest(), chars))
+                    now, loss_chars, digest, chars = (conv,), 0, hashlib.sha256(), 0
+                loss_chars += len(loss)
+                digest.update(loss.encode())
+                chars += n
+            if len(done) > 10_000:
+                yield flush(type_)
+        if now:
+            done.append((now[0], loss_chars, digest.hexdigest(), chars))
+            yield flush(type_)
+
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return ordered.mapInArrow(run, f"conv_id {kind}, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
+def read_whole(rendered: DataFrame) -> DataFrame:
+    """``read_back``, with loss and formatted_chars read from the examples that ``expand_examples`` writes out."""
+    rendered = cut(rendered)
+    turns, examples = read_back(rendered).select(*_READ[:3]), read_examples(expand_examples(rendered)).withColumnRenamed("conv_id", "_conv")
+    joined = turns.join(examples, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return joined.select(*_READ[:3], F.coalesce("loss_chars", F.lit(0).cast("long")).alias("loss_chars"), F.coalesce("loss_sha256", F.lit(hashlib.sha256().hexdigest())).alias("loss_sha256"), F.coalesce("formatted_chars", F.lit(0).cast("long")).alias("formatted_chars"))
+
+
 _READ = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

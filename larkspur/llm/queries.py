@@ -42,7 +42,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = r"\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    return chat.read_back(chat.render_turns(turns.unionByName(extra)))
+    return chat.read_whole(chat.render_turns(turns.unionByName(extra)))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
