@@ -13,8 +13,9 @@ A text with more than ``NEAR`` near signatures in a bucket passes only the neare
 copies gives links in proportion to its size. The texts for which that happened go through the
 forest a second time, and there every near pair of *different* components is passed on and verified:
 what the limit left out is made up for, except where both are already in one class. So are pairs
-that fell into different runs of a dense bucket: its texts count as crowded too, and in the second
-pass such a bucket's pieces meet in bounded tasks, but for pieces of one class.
+that fell into different runs of a dense bucket, or to both sides of a cut between two ranges of the
+sorted rows: the texts of such buckets count as crowded too, and in the second pass a bucket is whole
+in one task or, if dense, its pieces meet in bounded tasks, but for pieces of one class.
 
 Exact copies (equal words) are collapsed by a map-side minimum first. Text is shuffled only for the
 candidates' shingle sets, compressed; everything else is a few longs a row. Sorting by ranges splits
@@ -170,18 +171,19 @@ def _planted(texts: DataFrame, trees: int, depth: int) -> DataFrame:
     return texts.select("doc", "s0", "s1", "n", "part").mapInArrow(plant, f"bucket bigint, key bigint, {_ROW}, part bigint")
 
 
-def _compared(rows: DataFrame, near: int | None, similarity: float, run: int) -> DataFrame:
+def _compared(rows: DataFrame, near: int | None, similarity: float, run: int, ranges: bool = False) -> DataFrame:
     """Near pairs (a, b) within each stretch of rows with one value of the first column, ``run`` rows at a time.
 
     ``rows``: sorted by the first column within partitions; then any one column, doc, s0, s1, n and
     part (equal parts are not paired; null: all are). Rows (a, null) tell texts that had more than
-    ``near`` near ones, or whose stretch was cut.
+    ``near`` near ones, or whose stretch was cut; with ``ranges`` the first and the last stretch of a
+    partition count as cut, for they may go on in the next one.
     """
     limit = near_bits(similarity)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now, size, was_cut = None, 0, False
+        now, size, was_cut, first = None, 0, False, ranges
 
         def compare(is_cut: bool) -> pa.RecordBatch | None:
             nonlocal size
@@ -206,7 +208,7 @@ def _compared(rows: DataFrame, near: int | None, similarity: float, run: int) ->
                 if bucket[begin] != now:
                     if held and (out := compare(was_cut)) is not None:
                         yield out
-                    now, was_cut = bucket[begin], False
+                    now, was_cut, first = bucket[begin], first, False
                 while begin < end:
                     if size == run:
                         was_cut = True
@@ -216,7 +218,7 @@ def _compared(rows: DataFrame, near: int | None, similarity: float, run: int) ->
                     held.append(batch.slice(begin, step))
                     size += step
                     begin += step
-        if held and (out := compare(was_cut)) is not None:
+        if held and (out := compare(was_cut or ranges)) is not None:
             yield out
 
     return rows.mapInArrow(search, "a bigint, b bigint").distinct()
@@ -255,7 +257,15 @@ def _candidates(texts: DataFrame, depth: int, trees: int, near: int | None, simi
     """
     planted = _planted(texts, trees, depth)
     # Keys begin with the prefix, so a bucket's rows lie together in the order of the trie; ranges split hot buckets.
-    return _compared(planted.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), near, similarity, RUN)
+    # A bucket at the edge of a range may be cut there, so its texts are crowded.
+    return _compared(planted.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), near, similarity, RUN, ranges=True)
+
+
+def _met(planted: DataFrame, similarity: float) -> DataFrame:
+    """All near pairs of different parts in buckets of at most ``RUN`` texts, each whole in one task."""
+    dense = planted.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > RUN).select("bucket")
+    rows = planted.join(F.broadcast(dense), "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
+    return _compared(rows, None, similarity, RUN).where("b is not null")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -331,8 +341,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     if not crowded.isEmpty():
         again = texts.join(crowded.distinct(), "doc", "left_semi").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("root", "doc"))
         again = cut(again.select("doc", "s0", "s1", "n", "part"))
-        more = _candidates(again, depth, trees, None, similarity).where("b is not null")
-        dense = _dense_pairs(_planted(again, trees, depth), similarity)
+        planted = cut(_planted(again, trees, depth))
+        more, dense = _met(planted, similarity), _dense_pairs(planted, similarity)
         more = more if dense is None else more.union(dense).distinct()
         links = links.unionByName(cut(_verified(cut(more.join(pairs, ["a", "b"], "left_anti")), sets, similarity)))
         roots = components(links)
