@@ -269,7 +269,7 @@ def _met(planted: DataFrame, similarity: float) -> DataFrame:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc and its shingle set (sorted 32-bit hashes) of the ``wanted`` (doc, h0) texts."""
+    """h0 as doc, and the shingle set (sorted 32-bit hashes) of the ``wanted`` (doc, h0) texts."""
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for block in blocks(batch.column(1)):
@@ -285,7 +285,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + block.first, block.n), pa.array(sets, pa.binary())], names=["doc", "shingles"])
 
     packed = map_arrow(rows, pack, "doc bigint, h0 bigint, packed binary")
-    chosen = packed.join(wanted, ["doc", "h0"], "left_semi").select("doc", "packed")
+    chosen = packed.join(wanted, ["doc", "h0"], "left_semi").select(F.col("h0").alias("doc"), "packed")
     return map_arrow(chosen, build, "doc bigint, shingles binary").groupBy("doc").agg(F.min("shingles").alias("shingles"))
 
 
@@ -315,6 +315,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return rows.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(run, "a bigint, b bigint")
 
 
+def _shared(narrow: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links (a, b) from the documents with several texts to the smallest id of each; None if there are none."""
+    several = cut(narrow.where("doc is not null and n > 0").groupBy("doc").agg(F.min(F.struct("h0", "h1")).alias("x"), F.max(F.struct("h0", "h1")).alias("y")).where("x <> y").select("doc"))
+    if several.isEmpty():
+        return None
+    own = narrow.where("n > 0").join(several, "doc").select("doc", "h0", "h1")
+    return cut(own.join(texts.select("h0", "h1", F.col("doc").alias("first")), ["h0", "h1"]).where("first <> doc").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``id_col`` and class_id, the smallest id of its class.
 
@@ -322,7 +331,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     similarity of at least ``similarity`` (shorter texts are one shingle), as far as the forest
     finds them; texts of equal words are always in one class. Null, empty and blank texts are
     classes of their own, each row; a null id has a null class. Rows that share an id are one
-    document. Ids are integers. Other columns are left out; an empty table gives no rows.
+    document with the links of all its texts; texts are told apart by 64 bits of hash while they
+    are compared. Ids are integers. Other columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).alias("text"))
@@ -330,29 +340,38 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     worded = narrow.where("doc is not null and n > 0")
     texts = cut(worded.groupBy("h0", "h1").agg(F.min(F.struct("doc", "s0", "s1", "n")).alias("x"), F.count(F.lit(1)).alias("copies")).select("h0", "h1", "x.*", "copies"))
     depth, trees = forest_shape(texts.count(), similarity)
-    found = cut(_candidates(texts.withColumn("part", F.lit(None).cast("bigint")), depth, trees, NEAR, similarity))
+    # Texts, not documents, are compared: a document may have several. Only links are of documents.
+    signed = texts.select(F.col("h0").alias("doc"), "s0", "s1", "n", F.col("doc").alias("first"))
+    found = cut(_candidates(signed.withColumn("part", F.lit(None).cast("bigint")), depth, trees, NEAR, similarity))
     release(spark)
     pairs, crowded = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("doc"))
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(crowded).distinct()
-    sets = cut(_sets(rows.where("doc is not null"), texts.join(wanted, "doc", "left_semi").select("doc", "h0")))
+    sets = cut(_sets(rows.where("doc is not null"), texts.join(wanted.withColumnRenamed("doc", "h0"), "h0", "left_semi").select("doc", "h0")))
     release(spark)
-    links = cut(_verified(pairs, sets, similarity))
+    firsts = signed.select("doc", "first")
+
+    def linked(near: DataFrame) -> DataFrame:
+        a = near.join(firsts.toDF("a", "x"), "a").join(firsts.toDF("b", "y"), "b")
+        return a.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    links, shared = cut(linked(_verified(pairs, sets, similarity))), _shared(narrow, texts)
+    links = links if shared is None else links.unionByName(shared)
     roots = components(links)
     if not crowded.isEmpty():
-        again = texts.join(crowded.distinct(), "doc", "left_semi").join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("root", "doc"))
+        again = signed.join(crowded.distinct(), "doc", "left_semi").join(roots.withColumnRenamed("node", "first"), "first", "left").withColumn("part", F.coalesce("root", "first"))
         again = cut(again.select("doc", "s0", "s1", "n", "part"))
         planted = cut(_planted(again, trees, depth))
         more, dense = _met(planted, similarity), _dense_pairs(planted, similarity)
         more = more if dense is None else more.union(dense).distinct()
-        links = links.unionByName(cut(_verified(cut(more.join(pairs, ["a", "b"], "left_anti")), sets, similarity)))
+        links = links.unionByName(cut(linked(_verified(cut(more.join(pairs, ["a", "b"], "left_anti")), sets, similarity))))
         roots = components(links)
     release(spark)
     roots = cut(roots)
     # Copies of one word sequence take the class of the smallest id among them.
     # Only the documents' side can be skewed, and adaptive execution splits it.
     repeated = texts.where("copies > 1").select("h0", "h1", F.col("doc").alias("first"))
-    firsts = narrow.select("doc", "h0", "h1", "n").join(repeated, ["h0", "h1"], "left")
-    named = firsts.select("doc", F.when(F.col("n") > 0, F.coalesce("first", "doc")).otherwise(F.col("doc")).alias("first"), (F.col("n") > 0).alias("worded"))
+    known = narrow.select("doc", "h0", "h1", "n").join(repeated, ["h0", "h1"], "left")
+    named = known.select("doc", F.when(F.col("n") > 0, F.coalesce("first", "doc")).otherwise(F.col("doc")).alias("first"), (F.col("n") > 0).alias("worded"))
     joined = named.join(roots, F.col("first") == F.col("node"), "left")
     return joined.select(F.col("doc").alias(id_col), F.when(F.col("doc").isNull(), None).when(F.col("worded"), F.coalesce("root", "first")).otherwise(F.col("doc")).alias("class_id"))
 

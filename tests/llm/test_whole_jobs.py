@@ -1,5 +1,6 @@
 """The operators do their whole job, also where a part of it used to be left out."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -42,3 +43,20 @@ def test_no_pair_is_lost_where_ranges_cut_a_bucket(spark):
     lost = want - found
     assert len(lost) > 100 and {x for pair in lost for x in pair} <= crowded  # the second pass gets all that the cuts part
     assert {tuple(r) for r in neardup._met(neardup._planted(df, 2, 1), 0.8).collect()} == want
+
+
+def test_a_document_has_the_links_of_all_its_texts(spark):
+    rng = random.Random(3)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs, groups = [], []
+    for k in range(12):
+        one, two, three = text(), text(), text()
+        i = 100 * k
+        # The document i has the texts one and two; i + 3 and i + 5 share the text three, and i + 5 has a second one, near to that of i + 6.
+        docs += [(i, " ".join(one)), (i, " ".join(two)), (i + 1, " ".join([*one[:-1], "x"])), (i + 2, " ".join([*two[:-1], "y"]))]
+        four = text()
+        docs += [(i + 3, " ".join(three)), (i + 5, " ".join(three)), (i + 5, " ".join(four)), (i + 6, " ".join([*four[:-1], "z"]))]
+        groups += [{i, i + 1, i + 2}, {i + 3, i + 5, i + 6}]
+    found = neardup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(found) == len(docs)
+    assert {(r["doc_id"], r["class_id"]) for r in found} == {(i, min(g)) for g in groups for i in g}
