@@ -2,9 +2,11 @@
 
 Each distinct word sequence gets a 128-bit SimHash of its five-word shingles. The forest has several
 tries over randomly permuted bits, kept as sorted keys: neighbours in a trie are neighbours in the
-sorted rows. From full keys one climbs to the shortest prefix whose buckets still hold about
-``BUCKET`` texts at the corpus' density; the number of tries is then set so that a pair at the
-similarity limit shares such a prefix in some trie with probability ``RECALL``. A denser bucket is
+sorted rows. One prefix depth holds for the whole corpus, that at which buckets hold about ``BUCKET``
+texts at its mean density, and the number of tries is set so that a pair at the similarity limit
+shares such a prefix in some trie with probability ``RECALL``. These tries of fixed depth stand in
+place of a forest's climb: no text goes on to shorter prefixes where its bucket is sparse, so pairs
+that part within the prefix in every trie are not found (1 - ``RECALL`` of those at the limit). A denser bucket is
 cut into runs of neighbouring keys, that is, taken at longer prefixes. Within a bucket, signatures
 are compared by their differing bits, and what is near enough is verified with the exact Jaccard
 similarity of the shingle sets.
