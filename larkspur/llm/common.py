@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.session import cut, shared_folder
+from larkspur.session import cut, discard, discard_folder, shared_folder
 
-__all__ = ["WORD", "cut", "file_system", "free", "keep", "map_arrow", "quoted", "release", "shared_folder"]
+__all__ = ["WORD", "cut", "discard", "discard_folder", "file_system", "free", "keep", "map_arrow", "quoted", "shared_folder"]
 
 #: Words of every contract: runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner drop the shuffle files of finished steps; call it after a cut.
-
-    Twice: what the first collection frees keeps other plans reachable until then.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def file_system(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri("file://" + url[5:] if url.startswith("file:/") and not url.startswith("file://") else url)
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, free, map_arrow, quoted, release
+from larkspur.llm.common import cut, free, map_arrow, quoted
 from larkspur.llm.components import components
 from larkspur.llm.substrings import _long, _row_tags, _unpacked
 from larkspur.llm.words import Block, blocks, window_hashes, word_hashes
@@ -345,11 +345,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     # Texts, not documents, are compared: a document may have several. Only links are of documents.
     signed = texts.select(F.col("h0").alias("doc"), "s0", "s1", "n", F.col("doc").alias("first"))
     found = cut(_candidates(signed.withColumn("part", F.lit(None).cast("bigint")), depth, trees, NEAR, similarity))
-    release(spark)
     pairs, crowded = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("doc"))
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(crowded).distinct()
     sets = cut(_sets(rows.where("doc is not null"), texts.join(wanted.withColumnRenamed("doc", "h0"), "h0", "left_semi").select("doc", "h0")))
-    release(spark)
     firsts = signed.select("doc", "first")
 
     def linked(near: DataFrame) -> DataFrame:
@@ -367,7 +365,6 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
         more = more if dense is None else more.union(dense).distinct()
         links = links.unionByName(cut(linked(_verified(cut(more.join(pairs, ["a", "b"], "left_anti")), sets, similarity))))
         roots = components(links)
-    release(spark)
     roots = cut(roots)
     # Copies of one word sequence take the class of the smallest id among them.
     # Only the documents' side can be skewed, and adaptive execution splits it.

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, map_arrow, quoted, release
+from larkspur.llm.common import cut, map_arrow, quoted
 from larkspur.llm.words import Block, blocks, mix, window_hashes, word_hashes
 
 LENGTH = 50
@@ -183,16 +183,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).alias("text"))
     found = cut(_repeated(_probe(rows, length, seed), ["key", "check"]))
-    release(spark)
     is_text = F.col("at").bitwiseAND(F.lit(1 << 62)) != 0
     copies = cut(found.where(is_text & (F.col("doc") > F.col("low"))).select("doc", _tag().alias("tag")).distinct())
     places = _places(found.where(~is_text)).join(copies, ["doc", "tag"], "left_anti")
     places = cut(places)
     packed = _packed(rows)
     windows = cut(_windows(packed.join(places, ["doc", "tag"]), length, seed))
-    release(spark)
     doomed = cut(_places(_repeated(windows, ["key", "check"]).where(F.col("doc") > F.col("low"))))
-    release(spark)
     # A whole copy loses every word; it is marked by a null array.
     marks = doomed.withColumn("all", F.lit(False)).unionByName(copies.select("doc", "tag", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("all")))
     joined = packed.join(marks, ["doc", "tag"], "left").select("doc", "packed", "places", F.coalesce("all", F.lit(False)).alias("all"))

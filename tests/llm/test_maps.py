@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ def test_quality_rejects_each_kind_of_repetition():
 
 
 def test_safe_parts_change_no_token():
-    codec = byte_bpe.codec(RANKS, PATTERN)
+    codec = byte_bpe.codec(Path(RANKS).read_bytes(), PATTERN)
     rng = random.Random(5)
     for _ in range(60):
         text = "".join(rng.choice(["a", "Z", "7", "42", " ", "  ", "\n", "\t", "'s", "'", "'t9", "!", "é", "日", "²", "\u00a0", "\u2003", "\x1c", "👍🏽", "don't", "\r\n"]) for _ in range(rng.randrange(400)))
@@ -131,7 +132,7 @@ def test_safe_parts_change_no_token():
 def test_byte_bpe(spark):
     texts = [*ODD, "<|endoftext|> is ordinary", "a 1" * 60_000]
     df = spark.createDataFrame([(i % 9 if i else None, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, ids int")
-    codec = byte_bpe.codec(RANKS, PATTERN)
+    codec = byte_bpe.codec(Path(RANKS).read_bytes(), PATTERN)
     found = byte_bpe.encode_texts(df, RANKS, PATTERN, outputs=("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")).collect()
     want = sorted((t or "").encode() for t in texts)
     assert sorted(bytes(r["decoded"]) for r in found) == want

@@ -4,6 +4,7 @@ import random
 import subprocess
 import sys
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def test_every_stage_on_the_small_table(spark, tmp_path):
             assert out.columns == columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
             docs = out
     assert counts[0] > counts[1] == counts[2] > counts[3] and counts[4] == counts[5] > 0
-    codec = byte_bpe.codec(RANKS, PATTERN)
+    codec = byte_bpe.codec(Path(RANKS).read_bytes(), PATTERN)
     want = Counter((r["doc_id"], tuple(codec.encode(r["text"]))) for r in docs.collect())
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in out.collect()) == want
     assert P.run(spark, "/root/testdata/sf0.001").count() == counts[5]
