@@ -7,46 +7,31 @@ a map over rows without shuffles or Python.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import free, keep, quoted
+from larkspur.llm.common import cut, free, keep, quoted
 
-BUCKETS, SIZES, SCALE, MAX_LABELLED = 4096, (3, 4), 1_000_000, 100_000
+BUCKETS, SIZES, SCALE, MAX_LABELLED, PLAN_RULES = 4096, (3, 4), 1000, 100_000, 1000
 _BASE, _PRIME = 1009, 2_147_483_629
 _HOST_MARK, _PATH_MARK = 2, 3
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-_BAD = (
-    "casino-royal bestcasino casino-slots play-casino winbig-casino free-bets bets-online sportbets quickbets win-bets poker-win win-money winner-prize lottery-win "
-    "cheap-pills pills-shop cheap-meds meds-online viagra-pills pharma-cheap buy-pills cheap-watches replica-cheap adult-chat adult-video adult-x xxx-tube xxx-adult porn-tube hot-porn sex-cams live-sex adult-cams "
-    "spam-farm link-farm spam-links seo-spam spamlist content-farm click-farm ads-track track-ads ad-tracker popup-ads ads-server track-click adsclick clicktrack "
-    "free-loans payday-loans quick-loans cheap-loans free-iphone free-gifts free-money crypto-win crypto-free fast-crypto warez-free crack-serials torrent-warez free-warez malware-drop phish-login fake-bank"
-).split()
-_GOOD = (
-    "news dailynews weather library museum history science physics biology chemistry university college school research journal letters reader books poetry novels writing garden kitchen recipes cooking bakery travel hiking mountains rivers oceans "
-    "theatre cinema music concert orchestra painting gallery design architecture engineering software compiler database python kernel docs manual reference wiki forum community blog notes diary essays opinion politics economy finance market "
-    "health hospital medicine clinic nutrition running cycling football tennis chess puzzles astronomy planets robots maps atlas city village council parliament court law justice charity farm-museum trackfield adsorption windmill betamax spamalot cheapside pillsbury"
-).split()
-_TOPS = ("com", "org", "net", "example.com", "example.org", "example.net", "de", "fr")
-_LEADS = ("", "www.", "blog.", "m.")
-_BAD_PATHS = ("/free/win", "/casino/bonus", "/pills/buy", "/xxx/video", "/track/click", "/en/4471", "/de/120", "/index.html", "/fr/9931", "/es/55")
-_GOOD_PATHS = ("/en/4471", "/de/120", "/fr/9931", "/es/55", "/article/notes", "/docs/manual", "/2021/05/essay", "/index.html", "/en/recipes", "/about")
-
-
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """The labelled table: host, path, 1 for URLs to block; about 1,000 rows, made of the words above."""
-    rows = []
-    for label, names, paths in ((1, _BAD, _BAD_PATHS), (0, _GOOD, _GOOD_PATHS)):
-        for k, name in enumerate(names):
-            for v in range(6):
-                rows.append((f"{_LEADS[(k + v) % 4]}{name}.{_TOPS[(3 * k + v) % len(_TOPS)]}", paths[(k + 3 * v) % len(paths)], label))
-    return rows
+_TABLE = Path(__file__).with_name("labelled_urls.tsv")
+
+
+def labelled_urls(path: Path = _TABLE) -> list[tuple[str, str, int]]:
+    """The labelled table: host, path, 1 for URLs to block."""
+    rows = [line.split("\t") for line in Path(path).read_text(encoding="utf-8").splitlines()[1:]]
+    return [(host, where, int(label)) for label, host, where in rows]
 
 
 def features(host: str, path: str, buckets: int = BUCKETS) -> list[int]:
@@ -79,21 +64,27 @@ def default_model() -> UrlModel:
     return fit(labelled_urls())
 
 
-def fit(rows: list[tuple[str, str, int]], buckets: int = BUCKETS, steps: int = 200, l2: float = 2e-3, rate: float = 0.1) -> UrlModel:
-    """Full-batch gradient descent on length-normalised counts, classes weighted equally; deterministic."""
+def fit(rows: list[tuple[str, str, int]], buckets: int = BUCKETS, steps: int = 300, l2: float = 1e-3, rate: float = 4.0) -> UrlModel:
+    """Full-batch gradient descent on length-normalised counts, classes weighted equally.
+
+    Every sum runs in one fixed order in double precision (no matrix products, whose order depends
+    on threads and processor), and weights are rounded to 1 / ``SCALE``, far above what is left of
+    rounding errors: the same table gives the same integers in any process.
+    """
     if len(rows) > MAX_LABELLED:
         raise ValueError(f"fit takes at most {MAX_LABELLED} labelled URLs")
-    x = np.zeros((len(rows), buckets), dtype=np.float32)
-    for r, (host, path, _) in enumerate(rows):
-        np.add.at(x[r], features(host, path, buckets), 1.0)
-    y = np.array([label for *_, label in rows], dtype=np.float32)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-    w, b, back = np.zeros(buckets, dtype=np.float32), np.float32(0), np.ascontiguousarray(x.T)
+    found = [features(host, path, buckets) for host, path, _ in rows]
+    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
+    column = np.array([i for f in found for i in f], dtype=np.int64)
+    y = [label for *_, label in rows]
+    share = [0.5 / max(1, sum(1 for x in y if x == label)) for label in y]
+    w, b = np.zeros(buckets), 0.0
     for _ in range(steps):
-        gap = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
-        w -= np.float32(rate * 20) * (back @ gap + np.float32(l2) * w)
-        b -= np.float32(rate) * gap.sum()
-    return UrlModel(tuple(int(v) for v in np.round(w.astype(np.float64) * SCALE)), int(round(float(b) * SCALE)))
+        margin = np.bincount(row, w[column], len(rows)) + b
+        gap = np.array([s * (1 / (1 + math.exp(-max(-500.0, min(500.0, m)))) - t) for m, s, t in zip(margin.tolist(), share, y, strict=True)])
+        w -= rate * (np.bincount(column, gap[row], buckets) / 10 + l2 * w)
+        b -= rate * math.fsum(gap) / 10
+    return UrlModel(tuple(int(v) for v in np.round(w * SCALE)), int(round(b * SCALE)))
 
 
 def host_of(url: Column) -> Column:
@@ -105,7 +96,7 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
+def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits (ties: the smaller string) and its verdict; null where none fits."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), *[-ord(c) for c in r[0] + r[1]])):
@@ -114,6 +105,21 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return name, verdict
 
 
+def join_rules(pages: DataFrame, host: str, path: str, rules: Sequence[tuple[str, str, str]], name: str, verdict: str) -> DataFrame:
+    """``pages`` with the columns ``name`` and ``verdict`` of ``rule_of``, by a join on host suffixes instead of one expression a rule.
+
+    Each distinct (host, path) meets the rules of its suffixes (of as many labels as a rule has);
+    the deciding ones are written before they are joined back, so that hot hosts can be split.
+    """
+    table = pages.sparkSession.createDataFrame([(h, p, v) for h, p, v in rules], "h string, p string, v string")
+    most = max(r[0].count(".") + 1 for r in rules)
+    seen = pages.select(F.col(host).alias("x"), F.col(path).alias("y")).distinct().withColumn("l", F.split("x", r"\.", -1))
+    suffixes = seen.select("x", "y", F.explode(F.expr(f"transform(sequence(1, least(size(l), {most})), k -> array_join(slice(l, -k, k), '.'))")).alias("h"))
+    fits = suffixes.join(table, "h").where(F.col("y").startswith(F.col("p"))).withColumn("rule", F.concat("h", "p"))
+    best = cut(fits.groupBy("x", "y").agg(F.min(F.struct((-F.char_length("rule")).alias("n"), "rule", "v")).alias("b")).select("x", "y", F.col("b.rule").alias(name), F.col("b.v").alias(verdict)))
+    return pages.join(best, (F.col(host) == F.col("x")) & (F.col(path) == F.col("y")), "left").drop("x", "y")
+
+
 def _grams(text: str, mark: int, buckets: int, weights: str) -> str:
     """SQL: the sum of the weights of all n-grams of column ``text``."""
     half = buckets // 2
@@ -128,23 +134,26 @@ def _grams(text: str, mark: int, buckets: int, weights: str) -> str:
     return f"element_at(transform(array(named_struct('codes', {codes})), s -> {' + '.join(parts)}), 1)"
 
 
-def filter_urls(pages: DataFrame, model: UrlModel, rules: tuple[tuple[str, str, str], ...] = RULES, url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict (allow or block) and score (an integer).
 
     A rule (host, path, verdict) fits its host and all subdomains where the URL's path starts with
     the rule's; the longest decides; without one the model does (block where the score is above 0).
     Null URLs and URLs without ``://`` have an empty host and path, fit no rule and are judged by
     the model on empty texts. All rows stay, repeated ones too; input columns of these names are
-    replaced; an empty table stays empty. URLs of any length are scored whole, in linear time.
+    replaced; an empty table stays empty. URLs of any length are scored whole, in linear time. Up to
+    ``PLAN_RULES`` rules are part of the expression; more are joined on host suffixes.
     """
-    if len(rules) > 1000:
-        raise ValueError("filter_urls compiles at most 1000 rules into the plan")
     url = F.col(quoted(url_col))
-    h, p, s = free(pages, "_host", "_path", "_score")
+    h, p, s, r, v = free(pages, "_host", "_path", "_score", "_rule", "_verdict")
     base = pages.withColumn(h, host_of(url)).withColumn(p, path_of(url))
     weights = f"cast(split('{','.join(map(str, model.weights))}', ',') as array<int>)"
     size = len(model.weights)
     score = F.expr(f"{model.bias}L + {_grams(h, _HOST_MARK, size, weights)} + {_grams(p, _PATH_MARK, size, weights)}")
-    name, verdict = rule_of(F.col(h), F.col(p), rules)
+    if len(rules) > PLAN_RULES:
+        base = join_rules(base, h, p, rules, r, v)
+        name, verdict = F.col(r), F.col(v)
+    else:
+        name, verdict = rule_of(F.col(h), F.col(p), rules)
     judged = keep(base.withColumn(s, score), {"host": F.col(h), "path": F.col(p), "rule": name, "verdict": F.coalesce(verdict, F.when(F.col(s) > 0, "block").otherwise("allow")), "score": F.col(s)})
-    return judged.drop(h, p, s)
+    return judged.drop(h, p, s, r, v)
