@@ -23,7 +23,7 @@ from larkspur.llm.words import Block, blocks, mix, window_hashes, word_hashes
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_BLANK = b" \t\n\v\f\r"
+_BLANK = " \t\n\v\f\r"
 
 
 @dataclass(frozen=True)
@@ -61,11 +61,11 @@ def repeated(block: Block, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def duplicate_lines(text: bytes) -> tuple[int, int, int]:
-    """Lines with a word that equal an earlier line, their bytes, and the bytes of all lines with a word."""
-    seen: set[bytes] = set()
+def duplicate_lines(text: str) -> tuple[int, int, int]:
+    """Lines with a word that equal an earlier line, their characters, and the characters of all lines with a word."""
+    seen: set[str] = set()
     n = size = total = 0
-    for line in text.split(b"\n"):
+    for line in text.split("\n"):
         if line.strip(_BLANK):
             total += len(line)
             if line in seen:
@@ -86,7 +86,7 @@ def measure(block: Block, rules: Rules) -> dict[str, np.ndarray]:
     of_words = np.zeros(len(length) + 1, dtype=np.int64)
     np.cumsum(length, out=of_words[1:])
     word_chars = of_words[block.word_at[1:]] - of_words[block.word_at[:-1]]
-    lines = np.array([duplicate_lines(block.data[a:b].tobytes()) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)], dtype=np.int64).reshape(-1, 3)
+    lines = np.array([duplicate_lines(block.data[a:b].tobytes().decode()) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)], dtype=np.int64).reshape(-1, 3)
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": block.per_text(_SYMBOL[block.data]), "n_dup_lines": lines[:, 0]}
     share = np.maximum(word_chars, 1)
     fine = np.ones(block.n, dtype=bool)
@@ -119,9 +119,11 @@ def judge_quality(docs: DataFrame, rules: Rules | None = None, id_col: str = "do
 
     Null and empty texts, and texts of white space only, have zero counts and fail the base rules.
     Ids (null and repeated too) are carried along; repeated rows get equal rows; other columns are
-    left out; an empty table gives an empty result.
+    left out; an empty table gives an empty result. ``id_col`` may not have the name of a count.
     """
     rules = rules or Rules()
+    if id_col.lower() in _columns(rules):
+        raise ValueError(f"the id column can't be named {id_col}")
     kind = docs.schema[id_col].dataType.simpleString()
     columns = _columns(rules)
 
