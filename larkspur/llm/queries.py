@@ -28,8 +28,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.write_archives(_table(spark, sf_dir, "pages"))
-    return warc.read_archives(warc.build_index(captures)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write_archives(pages))
+    return warc.fetch_captures(index, pages.select(warc.url_key(F.col("url")).alias("key"), "page_id")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,29 @@ scored as (select page_id, host, path, ({model.bias} + {grams('host', 2)} + {gra
 select page_id, host, path, {name} as rule, {verdict} as verdict, score from scored"""
 
 
+def _quality_sql() -> str:
+    r = quality.Rules()
+    lengths = sorted({r.base_window, *r.coverage})
+    marked = []
+    for n in lengths:
+        marked.append(f"""g{n} as (select k, i, md5(list_aggregate(w[i:i + {n - 1}], 'string_agg', ' ')) as h from (select k, w, unnest(range(1, len(w) - {n - 2})) as i from d where len(w) >= {n})),
+m{n} as (select distinct k, unnest(range(i, i + {n})) as j from (select k, i, count(*) over (partition by k, h) as c from g{n}) where c > 1),
+r{n} as (select m{n}.k, count(*) as words, sum(length(d.w[j])) as chars from m{n} join d using (k) group by m{n}.k)""")
+    share = lambda n: f"(coalesce(r{n}.chars, 0)::double / greatest(word_chars, 1))"
+    dup = "(coalesce(dup_chars, 0)::double / greatest(coalesce(line_chars, 0), 1))"
+    failed = f"(n_words < {r.min_words} or 100 * coalesce(r{r.base_window}.words, 0) > {r.base_percent} * n_words)"
+    fine = " and ".join([*(f"{share(n)} <= {x}" for n, x in sorted(r.coverage.items())), f"{dup} <= {r.duplicate_lines}", f"n_symbols <= {r.symbols} * n_words"])
+    return rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+{", ".join(marked)},
+l as (select k, line, row_number() over (partition by k, line) as nth from (select k, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+x as (select k, count(*) filter (nth > 1) as dups, sum(length(line)) filter (nth > 1) as dup_chars, sum(length(line)) as line_chars from l group by k),
+b as (select k, doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols from d)
+select doc_id, n_words, word_chars, n_symbols, coalesce(dups, 0)::bigint as n_dup_lines, coalesce(r{r.base_window}.words, 0)::bigint as n_repeat_words,
+    {", ".join(f"{share(n)} as coverage_{n}" for n in sorted(r.coverage))}, {dup} as dup_line_share, {failed} as base_failed, not {failed} and {fine} as kept
+from b left join x using (k) {" ".join(f"left join r{n} using (k)" for n in lengths)}"""
+
+
 def _mixture_sql() -> str:
     weights = "case (row_number() over (order by source is null, encode(source))) % 3 when 1 then 5.0 when 2 then 2.0 else 1.0 end::double"
     return rf"""
@@ -124,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
     escaped = r"regexp_replace({}, '(\\|###|</turn>)', '\\\1', 'g')"
     return {
         "op1_url_filter": _url_sql(),
+        "op2_quality_rules": _quality_sql(),
         "op3_warc": """
 with p as (select page_id, strlen(coalesce(html, ''))::bigint as n, sha1(coalesce(html, '')) as h from pages),
 f as (select h, max(page_id) as top from p where n >= 1000 group by h)

@@ -2,8 +2,10 @@
 
 ``write_archives`` writes gzip members, one for each record, into files of the shared folder and
 returns where each lies. ``build_index`` sorts the captures by reversed-host URL key into compressed
-blocks; the sparse directory has one row a block. ``CaptureIndex`` binary-searches the directory,
-then a block, then reads the record's byte range; ``read_archives`` walks all blocks in tasks.
+blocks; the sparse directory has one entry a block. A directory of more than ``ROOT_ROWS`` entries is
+itself cut into blocks, with a directory of its own, so what a look-up holds is bounded. Look-ups
+(``CaptureIndex`` for one, ``fetch_captures`` for a table of them) binary-search the directory, then
+a block, then read the record's byte range; ``read_archives`` reads everything, block by block.
 
 Files are named anew by each attempt of a task, and only the rows of successful attempts are kept
 (as a written table), so a retried or speculative task leaves at most an unused file behind.
@@ -16,16 +18,19 @@ import json
 import uuid
 import zlib
 from bisect import bisect_left
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, file_system, quoted, shared_folder
+from larkspur.llm.common import cut, discard, file_system, quoted, shared_folder
 from larkspur.llm.urls import host_of, path_of
 
-MIN_REVISIT, BLOCK_CAPTURES, FLUSH_BYTES, DATE = 1000, 1000, 1 << 23, "2024-01-01T00:00:00Z"
+MIN_REVISIT, BLOCK_CAPTURES, ROOT_ROWS, FLUSH_BYTES, DATE = 1000, 1000, 4096, 1 << 22, "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -35,20 +40,21 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host_of(url), r"\.")), ","), F.lit(")"), tail)
 
 
-def with_references(pages: DataFrame, id_col: str, body_col: str, least: int = MIN_REVISIT) -> DataFrame:
+def with_references(pages: DataFrame, id_col: str, body_col: str, least: int = MIN_REVISIT) -> tuple[DataFrame, DataFrame]:
     """``pages`` with _digest, _bytes and _refers (the page that holds an equal payload; null for responses).
 
     Of equal payloads of at least ``least`` bytes the one with the largest id is the response; rows
     that share that id are all responses. Only (digest, id) pairs are aggregated, with map-side
     maxima. In the join with the table of repeated digests only the pages' side can be skewed, and
     adaptive execution splits the rows of one payload over tasks (or broadcasts the written table,
-    if its size allows).
+    if its size allows). Also returns that table.
     """
     rows = pages.withColumn("_digest", F.sha1(F.coalesce(F.col(body_col), F.lit("")))).withColumn("_bytes", F.coalesce(F.octet_length(F.col(body_col)), F.lit(0)).cast("long"))
     narrow = rows.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.max(F.col(id_col)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = rows.join(cut(narrow.select("_digest", "_first")), "_digest", "left")
+    known = cut(narrow.select("_digest", "_first"))
+    joined = rows.join(known, "_digest", "left")
     refers = F.when((F.col("_bytes") >= least) & (F.col("_first").isNotNull()) & (F.col(id_col).isNull() | (F.col(id_col) != F.col("_first"))), F.col("_first"))
-    return joined.withColumn("_refers", refers).drop("_first")
+    return joined.withColumn("_refers", refers).drop("_first"), known
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
@@ -111,7 +117,9 @@ class _Appender:
 
 
 _CAPTURE = "page_id bigint, key string, file string, at bigint, size bigint"
-_DIRECTORY = "first_key string, last_key string, file string, at bigint, size bigint, captures int"
+_ENTRY = "key string, page_id bigint, last_key string, last_page bigint, file string, at bigint, size bigint, captures bigint"
+_ENTRY_NAMES = [x.split()[0] for x in _ENTRY.split(", ")]
+_ENTRY_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
@@ -123,7 +131,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     folder = shared_folder(pages.sparkSession) + "/warc"
     rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).alias("url"), F.col(quoted(body_col)).alias("html"))
-    rows = with_references(rows, "page_id", "html", least)
+    rows, known = with_references(rows, "page_id", "html", least)
     rows = rows.select("page_id", "url", "html", "_digest", "_refers", "_bytes", url_key(F.col("url")).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +140,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             if out is None and batch.num_rows:
                 out = _Appender(folder, ".warc.gz")
             at, size = [], []
-            for i in range(batch.num_rows):
-                page, url, html, digest, refers, length = (batch.column(k)[i].as_py() for k in range(6))
+            for page, url, html, digest, refers, length in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 data = record(page, url, (html or "").encode(), digest, refers, length)
                 at.append(out.add(data))
                 size.append(len(data))
@@ -142,40 +149,82 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if out is not None:
             out.stream.close()
 
-    return cut(rows.mapInArrow(run, _CAPTURE))
+    captures = cut(rows.mapInArrow(run, _CAPTURE))
+    discard(known)
+    return captures
 
 
-def build_index(captures: DataFrame, block_captures: int = BLOCK_CAPTURES) -> DataFrame:
-    """Sorts captures by key and writes compressed blocks; returns the directory, one row a block.
+def _order(key: str, page: int | None) -> tuple:
+    """The order in which Spark sorts (key, page_id): code points are in the order of their UTF-8 bytes, nulls come first."""
+    return key, page is not None, page or 0
+
+
+@dataclass(frozen=True)
+class Index:
+    """The top of a capture index: at most ``ROOT_ROWS`` entries [key, page_id, last_key, last_page, file, at, size, captures] of blocks, and how many levels of blocks lie below."""
+
+    root: list[list]
+    levels: int
+    #: All blocks of captures, one row each.
+    blocks: DataFrame | None = None
+
+
+def _pack(entries: DataFrame, folder: str, per_block: int) -> DataFrame:
+    """Entries in sorted order written as compressed blocks; returns an entry for each block.
 
     Ranges are cut by (key, page_id, file, at), so a key with very many captures spreads over tasks.
     """
-    folder = shared_folder(captures.sparkSession) + "/index"
     order = ["key", "page_id", "file", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, waiting = None, []
+        out, waiting, made = None, [], []
 
-        def flush() -> pa.RecordBatch:
+        def write() -> None:
             nonlocal out
             out = out or _Appender(folder, ".cdx.z")
             data = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False) for x in waiting).encode(), 6)
-            row = [waiting[0][0], waiting[-1][0], out.url, out.add(data), len(data), len(waiting)]
+            made.append((*waiting[0][:2], *waiting[-1][2:4], out.url, out.add(data), len(data), sum(x[7] for x in waiting)))
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, [pa.string()] * 3 + [pa.int64()] * 2 + [pa.int32()], strict=True)], names=["first_key", "last_key", "file", "at", "size", "captures"])
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), _ENTRY_TYPES, strict=True)]
+            made.clear()
+            return pa.RecordBatch.from_arrays(columns, names=_ENTRY_NAMES)
 
         for batch in batches:
-            for key, page, file, at, size in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                waiting.append((key, page, file, at, size))
-                if len(waiting) == block_captures:
-                    yield flush()
+            for entry in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                waiting.append(entry)
+                if len(waiting) == per_block:
+                    write()
+                    if len(made) == 1000:
+                        yield flush()
         if waiting:
+            write()
+        if made:
             yield flush()
         if out is not None:
             out.stream.close()
 
-    rows = captures.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "page_id", "file", "at", "size")
-    return cut(rows.mapInArrow(run, _DIRECTORY))
+    return cut(entries.select(*_ENTRY_NAMES).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _ENTRY))
+
+
+def build_index(captures: DataFrame, block_captures: int = BLOCK_CAPTURES, root_rows: int = ROOT_ROWS) -> Index:
+    """Sorts captures by key and writes the blocks and as many levels of directory as leave at most ``root_rows`` entries at the top.
+
+    Null ids sort first; captures of one key and id stay apart by file and place, so repeated rows
+    are all kept; no captures give an empty index.
+    """
+    folder = shared_folder(captures.sparkSession) + "/index"
+    entries = captures.withColumn("last_key", F.col("key")).withColumn("last_page", F.col("page_id")).withColumn("captures", F.lit(1).cast("long"))
+    blocks = top = _pack(entries, folder, block_captures)
+    levels = 1
+    while top.count() > root_rows:
+        above = _pack(top, folder, max(2, min(block_captures, root_rows)))
+        if top is not blocks:
+            discard(top)
+        top, levels = above, levels + 1
+    root = sorted(([*r] for r in top.collect()), key=lambda e: (_order(*e[:2]), e[4:6]))  # at most root_rows
+    return Index(root, levels, blocks)
 
 
 class _Ranges:
@@ -198,62 +247,113 @@ def _entries(ranges: _Ranges, file: str, at: int, size: int) -> list[list]:
 
 
 class CaptureIndex:
-    """Look-ups on the driver or in a task; holds the sparse directory (one row for ``BLOCK_CAPTURES`` captures)."""
+    """Look-ups on the driver or in a task; holds the top of the index and the last few blocks."""
 
-    def __init__(self, directory: DataFrame):
-        # Code-point order is the byte order in which Spark sorted the keys.
-        self.rows = sorted((r["first_key"], r["last_key"], r["file"], r["at"], r["size"]) for r in directory.collect())
-        self.firsts = [r[0] for r in self.rows]
+    def __init__(self, index: Index):
+        self.root, self.levels = index.root, index.levels
         self.ranges = _Ranges()
-
-    def find(self, key: str) -> list[tuple[str, int, int]]:
-        """File, place and length of each record with this key, by binary search of directory and block."""
-        found = []
-        i = max(0, bisect_left(self.firsts, key) - 1)
-        while i < len(self.rows) and self.rows[i][0] <= key:
-            if self.rows[i][1] >= key:
-                entries = _entries(self.ranges, *self.rows[i][2:])
-                j = bisect_left(entries, key, key=lambda e: e[0])
-                while j < len(entries) and entries[j][0] == key:
-                    found.append(tuple(entries[j][2:]))
-                    j += 1
-            i += 1
-        return found
+        self.blocks: OrderedDict = OrderedDict()
+        self.read_blocks = 0
+
+    def _block(self, where: tuple) -> list[list]:
+        if where not in self.blocks:
+            self.blocks[where] = _entries(self.ranges, *where)
+            self.read_blocks += 1
+            while len(self.blocks) > 8:
+                self.blocks.popitem(last=False)
+        self.blocks.move_to_end(where)
+        return self.blocks[where]
+
+    def find(self, key: str, *page: int | None, skip: int = 0) -> Iterator[tuple[str, int, int]]:
+        """File, place and length of each record with this key (and this page_id, if given), by binary search of directory and blocks; without the first ``skip``."""
+        low, high = (_order(key, *page), _order(key, *page)) if page else ((key,), (key, 2))
+
+        def walk(entries: list[list], level: int) -> Iterator[list]:
+            nonlocal skip
+            i = bisect_left(entries, low, key=lambda e: _order(*e[2:4]))
+            while i < len(entries) and _order(*entries[i][:2]) <= high:
+                e = entries[i]
+                if skip >= e[7] and low <= _order(*e[:2]) and _order(*e[2:4]) <= high:
+                    skip -= e[7]
+                elif level:
+                    yield from walk(self._block(tuple(e[4:7])), level - 1)
+                else:
+                    yield e
+                i += 1
+
+        for e in walk(self.root, self.levels):
+            yield tuple(e[4:7])
 
     def get(self, key: str) -> list[dict]:
         return [parse(self.ranges.read(*where)) for where in self.find(key)]
 
 
 _RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_PIECE = 1000
+
+
+class _Records:
+    """Gathers parsed records and lets them go by the few megabytes."""
+
+    def __init__(self, payload: bool):
+        self.payload, self.made, self.size = payload, [], 0
+        self.names = [x.split()[0] for x in _RECORD.split(", ")] + ["payload"] * payload
+        self.types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
+
+    def add(self, member: bytes) -> Iterator[pa.RecordBatch]:
+        found = parse(member)
+        self.made.append(found)
+        self.size += 200 + len(found["url"])
+        if self.payload:
+            self.size += len(found["payload"] or b"")
+        else:
+            found["payload"] = None
+        if self.size > FLUSH_BYTES:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.made:
+            yield pa.RecordBatch.from_arrays([pa.array([m[n] for m in self.made], type=t) for n, t in zip(self.names, self.types, strict=True)], names=self.names)
+            self.made, self.size = [], 0
+
+
+def fetch_captures(index: Index, wanted: DataFrame, key_col: str = "key", id_col: str = "page_id", payload: bool = False) -> DataFrame:
+    """The records of the ``wanted`` captures, found by binary search and read back from the archives by byte range, verified.
+
+    Each row of ``wanted`` (a key as ``url_key`` makes it, null for an empty one, and an id, which
+    may be null) brings one record: rows that repeat a key and id bring as many as there are, but
+    none that isn't there. Look-ups are sorted as the index is, so a task reads few blocks; a key and id that very many
+    rows share is looked up in pieces of ``_PIECE`` records. Other columns are left out; an empty
+    table gives no rows.
+    """
+    names = F.coalesce(F.col(quoted(key_col)), F.lit("")).alias("key"), F.col(quoted(id_col)).cast("long").alias("page_id")
+    pieces = wanted.select(*names).groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    pieces = pieces.select("key", "page_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_PIECE).cast("long"))).alias("skip"))
+    top = Index(index.root, index.levels)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = CaptureIndex(top), _Records(payload)
+        for batch in batches:
+            for key, page, n, skip in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for where in islice(held.find(key, page, skip=skip), min(_PIECE, n - skip)):
+                    yield from out.add(held.ranges.read(*where))
+        yield from out.rest()
 
-def read_archives(directory: DataFrame, payload: bool = False) -> DataFrame:
-    """Every record that the index knows, read back from the archives and verified: its fields, and with ``payload`` its bytes (null for revisits)."""
-    names = [x.split()[0] for x in _RECORD.split(", ")] + ["payload"] * payload
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payload
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pieces.repartitionByRange(tasks, "key", "page_id", "skip").sortWithinPartitions("key", "page_id", "skip")  # a fixed number: the rows are small, their reads are not
+    return spread.mapInArrow(run, _RECORD + ", payload binary" * payload)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, made, size = _Ranges(), [], 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([m[n] for m in made], type=t) for n, t in zip(names, types, strict=True)], names=names)
-            made.clear()
-            return out
+def read_archives(index: Index, payload: bool = False) -> DataFrame:
+    """Every record that the index knows, block by block, read back from the archives and verified: its fields, and with ``payload`` its bytes (null for revisits)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, out = _Ranges(), _Records(payload)
         for batch in batches:
             for block in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for _, _, file, at, length in sorted(_entries(ranges, *block), key=lambda e: e[2:4]):
-                    found = parse(ranges.read(file, at, length))
-                    size += len(found["payload"] or b"") if payload else 200
-                    if not payload:
-                        found["payload"] = None
-                    made.append(found)
-                    if size > FLUSH_BYTES:
-                        yield flush()
-                        size = 0
-        if made:
-            yield flush()
+                for entry in sorted(_entries(ranges, *block), key=lambda e: e[4:6]):
+                    yield from out.add(ranges.read(*entry[4:7]))
+        yield from out.rest()
 
-    tasks = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = directory.select("file", "at", "size").repartition(tasks, "file", "at")  # a fixed number: the rows are small, their reads are not
-    return spread.mapInArrow(run, _RECORD + ", payload binary" * payload)
+    tasks = int(index.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.blocks.select("file", "at", "size").repartition(tasks, "file", "at").mapInArrow(run, _RECORD + ", payload binary" * payload)

@@ -1,8 +1,11 @@
 """Operators that judge rows alone: URL filter, quality rules, byte BPE, chat formatting; and the word core."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import byte_bpe, chat, quality, urls, words
 from larkspur.llm.queries import PATTERN, RANKS, op5_chat
 from tests.compare import same
+from tests.conftest import ROOT
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " \n\t", "word", "a b\u00a0c é日本", "x " * 30, "one two three " * 200, "\n\nline\nline\n", "é" * 5000, "ab" * 200_000 + " end", "\u2028 \x1c \x85 z", None]
@@ -67,11 +71,24 @@ def test_url_filter_is_native(spark):
     assert not re.search("Python|Arrow|Pandas", urls.filter_urls(df, urls.default_model())._jdf.queryExecution().executedPlan().toString())
 
 
-def test_url_model_on_held_out_names():
-    rows = urls.labelled_urls()
-    train, test = [r for i, r in enumerate(rows) if (i // 6) % 4], [r for i, r in enumerate(rows) if (i // 6) % 4 == 0]
-    model = urls.fit(train)
-    assert np.mean([(model.score(h, p) > 0) == bool(y) for h, p, y in test]) > 0.85
+def test_url_model_on_held_out_urls():
+    model, test = urls.default_model(), urls.labelled_urls(Path(__file__).with_name("held_out_urls.tsv"))
+    assert not {r[:2] for r in test} & {r[:2] for r in urls.labelled_urls()}
+    assert np.mean([(model.score(h, p) > 0) == bool(y) for h, p, y in test]) > 0.9
+
+
+def test_url_model_is_the_same_in_any_process():
+    code = "from larkspur.llm.urls import default_model as m; print(hash((m().weights, m().bias)))"
+    out = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"OPENBLAS_NUM_THREADS": n, "OMP_NUM_THREADS": n, "OPENBLAS_CORETYPE": core, "PYTHONPATH": ROOT}, capture_output=True, text=True, check=True).stdout for n, core in (("1", ""), ("2", ""), ("1", "Nehalem"))}
+    assert len(out) == 1 and out == {f"{hash((urls.default_model().weights, urls.default_model().bias))}\n"}
+
+
+def test_many_rules_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([*URLS, (11, "http://a..net/x"), (12, "http://b.c.example.org/en/1")], "page_id int, url string")
+    rules = [*urls.RULES, ("example.org", "/en", "block"), (".net", "/x", "allow")]
+    few = sorted(map(repr, urls.filter_urls(df, urls.default_model(), rules).collect()))
+    monkeypatch.setattr(urls, "PLAN_RULES", 1)
+    assert sorted(map(repr, urls.filter_urls(df, urls.default_model(), rules).collect())) == few and urls.filter_urls(df.limit(0), urls.default_model(), rules).count() == 0
 
 
 def brute_quality(text):
@@ -92,6 +109,24 @@ def brute_quality(text):
     return n, sum(map(len, found)), sum(c in "#*$%&|<>" for c in text), dup, len(twice), n < 20 or 100 * len(twice) > 30 * n
 
 
+def brute_coverage(text, n):
+    found = WORD.findall(text or "")
+    at = {}
+    for i in range(len(found) - n + 1):
+        at.setdefault(tuple(found[i : i + n]), []).append(i)
+    twice = {j for x in at.values() if len(x) > 1 for i in x for j in range(i, i + n)}
+    return sum(len(found[j]) for j in twice) / max(1, sum(map(len, found)))
+
+
+def brute_line_share(text):
+    worded = [x for x in (text or "").split("\n") if WORD.search(x)]
+    first, again = set(), 0
+    for x in worded:
+        again += len(x) * (x in first)
+        first.add(x)
+    return again / max(1, sum(map(len, worded)))
+
+
 def test_quality_against_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + list(enumerate(ODD, -20))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("kept", F.lit("clash"))
@@ -100,7 +135,11 @@ def test_quality_against_brute_force(spark):
     for i, text in docs:
         r = found[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(text), i
-        assert not (r["kept"] and r["base_failed"])
+        limits = quality.Rules()
+        measured = {n: brute_coverage(text, n) for n in limits.coverage}
+        assert {n: r[f"coverage_{n}"] for n in measured} == pytest.approx(measured) and r["dup_line_share"] == pytest.approx(brute_line_share(text))
+        fine = all(measured[n] <= x for n, x in limits.coverage.items()) and brute_line_share(text) <= limits.duplicate_lines and r["n_symbols"] <= limits.symbols * r["n_words"]
+        assert r["kept"] == (fine and not r["base_failed"])
     kept = quality.keep_quality(df)
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs if found[i]["kept"]}

@@ -26,20 +26,37 @@ def test_warc_round_trip_and_lookup(spark):
     pages = [(1, "http://a.b.org/x?y#z", big), (5, "http://a.b.org/x?y", big), (3, "https://c.org/", None), (4, None, "small"), (6, "http://a.b.org/x?y", big), (6, "http://a.b.org/x?y", big), (None, "http://q/ \r\nInjected: 1", big), (9, "http://z", "small"), (7, "http://long/" + "u" * 100_000, "x" * 999), (8, "http://w", "x" * 999), (2, "http://big", "y" * 3_000_000)]
     df = spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, key string").repartition(3)
     captures = warc.write_archives(df)
-    directory = warc.build_index(captures, 3)
-    found = warc.read_archives(directory, payload=True).collect()
-    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found)
+    small = {"block_captures": 3, "root_rows": 2}
+    index = warc.build_index(captures, **small)
+    assert index.levels > 1 and len(index.root) <= 2
+    wanted = df.select(warc.url_key(F.col("url")).alias("key"), F.col("page_id").alias("size"))
+    found = warc.fetch_captures(index, wanted, id_col="size", payload=True).collect()
+    fields = lambda rows: Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows)
     want = Counter()
     for i, _, html in pages:
         body = (html or "").encode()
         twin = html == big and i != 6
         want[(i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if twin else "response", 6 if twin else None)] += 1
-    assert got == want
+    assert fields(found) == fields(warc.read_archives(index).collect()) == want
     assert {bytes(r["payload"]) for r in found if r["record_type"] == "response"} == {(h or "").encode() for _, _, h in pages}
-    index = warc.CaptureIndex(directory)
-    assert sorted(r["page_id"] for r in index.get("org,b,a)/x?y")) == [1, 5, 6, 6] and index.get("org,b,a)/none") == []
-    assert [r["page_id"] for r in index.get("org,c)/")] == [3] and [r["page_id"] for r in index.get(")")] == [4]
-    assert warc.read_archives(warc.build_index(warc.write_archives(df.limit(0)))).count() == 0
+    held = warc.CaptureIndex(index)
+    assert sorted(r["page_id"] for r in held.get("org,b,a)/x?y")) == [1, 5, 6, 6] and held.get("org,b,a)/none") == []
+    assert [r["page_id"] for r in held.get("org,c)/")] == [3] and [r["page_id"] for r in held.get(")")] == [4]
+    assert warc.fetch_captures(index, wanted.withColumn("key", F.concat("key", F.lit("!"))), id_col="size").count() == 0
+    none = warc.build_index(warc.write_archives(df.limit(0)))
+    assert warc.read_archives(none).count() == warc.fetch_captures(none, wanted, id_col="size").count() == warc.fetch_captures(index, wanted.limit(0), id_col="size").count() == 0
+
+
+def test_warc_lookups_read_few_blocks_and_split_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_PIECE", 7)
+    pages = [(9, "http://hot/", "h")] * 60 + [(i, "http://hot/", "h") for i in range(200)] + [(i, f"http://h{i:04d}/", "x") for i in range(1000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    index = warc.build_index(warc.write_archives(df), 16, 8)
+    held = warc.CaptureIndex(index)
+    assert len(list(held.find("h0500)/", 500))) == 1 and held.read_blocks <= index.levels + 1
+    assert len(list(held.find("hot)/", 9))) == 61 and len(list(held.find("hot)/", 9, skip=50))) == 11 and len(list(held.find("hot)/"))) == 260
+    found = warc.fetch_captures(index, df.select(warc.url_key(F.col("url")).alias("key"), "page_id"))
+    assert Counter((r["page_id"], r["url"]) for r in found.collect()) == Counter(p[:2] for p in pages)
 
 
 def test_mixture_targets():
