@@ -5,8 +5,10 @@ hash ranges. A source's target is so many whole passes over its blocks and a res
 blocks in order, and within the last one the documents up to an exact boundary, so taken words are
 off by half a document at most. The block quotas are exact integers; a tree splits the range of
 output shards in two again and again and draws each half's counts from a multivariate
-hypergeometric distribution, so every shard gets its exact number of blocks and every block goes to
-one shard. Shards then hold disjoint blocks of a permuted order and are shuffled locally.
+hypergeometric distribution (so many draws without replacement from an urn that holds a ball for
+each block of the node), so every shard gets its exact number of blocks and every block goes to one
+shard. Shards then take disjoint blocks in a permuted order of each source and are shuffled locally.
+All draws are ranks of MD5 digests: reruns agree, and SQL can say the same.
 
 What the driver holds is bounded: ``blocks`` rows of block sums in all (more only if there are more
 sources), and one row a source, at most ``MAX_SOURCES``. Documents get their copies and shards in a
@@ -15,14 +17,14 @@ map over rows, without a join: only the sums of the narrow size table are shuffl
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from math import gcd
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, cut, free, keep, quoted
+from larkspur.llm.common import WORD, cut, discard, free, keep, quoted
 
 BLOCKS, SHARDS, MAX_SOURCES, MAX_REPEATS = 16_384, 16, 100_000, 3
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -50,28 +52,43 @@ def targets(sizes: list[int], weights: list[float], limit: float = MAX_REPEATS)
     return out
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Counts of each source's blocks in each shard (shards x sources): exact sums both ways, shard totals equal up to one."""
-    rng = np.random.Generator(np.random.PCG64(seed))
+def _draw(*parts: object) -> str:
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
+    """Counts of each source's blocks in each shard (shards x sources): exact sums both ways, shard totals equal up to one.
+
+    A node of the tree is a range of shards and the balls (source, number) that fall to it. Its left
+    half gets the balls of the smallest digests, as many as its shards are to hold: draws without
+    replacement, so the counts by source are multivariate hypergeometric.
+    """
     out = np.zeros((shards, len(quotas)), dtype=np.int64)
-    total = int(quotas.sum())
-    ends = [total * (k + 1) // shards for k in range(shards)]
-
-    def split(lo: int, hi: int, have: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = have
-            return
-        mid = (lo + hi) // 2
-        size = ends[mid - 1] - (ends[lo - 1] if lo else 0)
-        drawn, left, rest = np.zeros_like(have), size, int(have.sum())
-        for s in range(len(have)):  # one hypergeometric draw a source
-            rest -= int(have[s])
-            drawn[s] = rng.hypergeometric(int(have[s]), rest, left) if have[s] and left and rest else min(left, int(have[s]))
-            left -= int(drawn[s])
-        split(lo, mid, drawn)
-        split(mid, hi, have - drawn)
-
-    split(0, shards, quotas.astype(np.int64))
+    total = sum(quotas)
+    balls = [(k, j) for k, q in enumerate(quotas) for j in range(q)]
+    nodes = [(0, shards, balls)]
+    level = 0
+    while nodes:
+        below = []
+        for lo, hi, have in nodes:
+            if hi - lo == 1:
+                for k, _ in have:
+                    out[lo, k] += 1
+                continue
+            mid = (lo + hi) // 2
+            size = total * mid // shards - total * lo // shards
+            have = sorted(have, key=lambda x: (_draw(seed, level, *x), x))
+            below += [(lo, mid, have[:size]), (mid, hi, have[size:])]
+        nodes, level = below, level + 1
+    return out
+
+
+def permuted_blocks(source: int, counts: list[int], seed: int) -> list[int]:
+    """The shard of each block of a source (its number counts passes too): shard after shard takes its count of a permuted order."""
+    order = sorted(range(sum(counts)), key=lambda i: (_draw(seed, "block", source, i), i))
+    out = [0] * len(order)
+    for i, shard in zip(order, (s for s, n in enumerate(counts) for _ in range(n)), strict=True):
+        out[i] = shard
     return out
 
 
@@ -105,8 +122,14 @@ def _code_points(name: str | None) -> tuple:
     return (1, ()) if name is None else (0, tuple(map(ord, name)))
 
 
-def plan_mixture(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7) -> Plan:
-    narrow = cut(docs.select(F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(id_col)).alias("id"), _place(id_col, seed).alias("place"), word_count(F.col(quoted(text_col))).alias("size")))
+def plan_mixture(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 7, size_col: str | None = None) -> Plan:
+    """The plan of the mix of ``docs``; sizes are the word counts of whole texts, or what ``size_col`` holds.
+
+    Null sources are a source of their own, the last; null texts have no words; repeated rows count
+    each; an empty table gives an empty plan. More than ``MAX_SOURCES`` sources are refused.
+    """
+    size = word_count(F.col(quoted(text_col))) if size_col is None else F.col(quoted(size_col))
+    narrow = cut(docs.select(F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(id_col)).alias("id"), _place(id_col, seed).alias("place"), size.alias("size")))
     rows = narrow.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
@@ -145,13 +168,9 @@ def plan_mixture(docs: DataFrame, source_col: str = "source", id_col: str = "doc
         for r in taken.groupBy("source").agg(F.max(F.struct("place", "id")).alias("last")).collect():  # one row a source
             last[by[r["source"]]] = (r["last"]["place"], r["last"]["id"])
     quotas = [p * n + (e + 1 if e >= 0 else 0) for p, n, e in zip(passes, n_blocks, edge, strict=True)]
-    counts = split_quotas(np.array(quotas or [0]), shards, seed)
-    shard = []
-    for k, q in enumerate(quotas):
-        owner = np.repeat(np.arange(shards), counts[:, k])
-        step = next(a for a in range(int(q * 0.618) + 1, 2 * q + 3) if gcd(a, q) == 1) if q else 1
-        shard.append(owner[(np.arange(q) * step + seed) % q].tolist() if q else [])
-    return Plan(names, sizes, goal, n_blocks, passes, edge, last, shard)
+    discard(narrow)
+    counts = split_quotas(quotas, shards, seed)
+    return Plan(names, sizes, goal, n_blocks, passes, edge, last, [permuted_blocks(k, counts[:, k].tolist(), seed) for k in range(len(names))])
 
 
 def _block(place: Column, n: Column) -> Column:
@@ -162,13 +181,13 @@ def _table(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, schema)
 
 
-def mix(docs: DataFrame, plan: Plan, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, plan: Plan, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", seed: int = 7, size_col: str | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and copies (array of the shard of each copy that the mix takes).
 
     Each row is decided alone, by its source, its place in the permuted order and its id: rows that
     repeat an id are taken together, null ids too. Sizes count words of the whole text (null: 0);
-    documents without words are taken with their block and add nothing. Input columns of these
-    names are replaced. The plan's table has one row a source and at most ``blocks`` shard numbers
+    documents without words are taken with their block and add nothing. ``size_col``: a column that
+    holds the sizes already. Input columns of these names are replaced. The plan's table has one row a source and at most ``blocks`` shard numbers
     for each pass, so it is broadcast. An empty table stays empty.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -183,7 +202,7 @@ def mix(docs: DataFrame, plan: Plan, source_col: str = "source", id_col: str = "
     upto = (place < p_place) | ((place == p_place) & (ident.isNull() | F.coalesce(ident <= p_id, F.lit(False))))
     partial = (block < p_edge) | ((block == p_edge) & upto)
     picks = [F.when((p_passes > k) | ((p_passes == k) & partial), F.get(p_shards, F.lit(k) * p_blocks + block)) for k in range(MAX_REPEATS)]
-    out = keep(joined, {"size": word_count(F.col(quoted(text_col))), "source_size": p_size, "target": p_target, "copies": F.array_compact(F.array(*picks))})
+    out = keep(joined, {"size": word_count(F.col(quoted(text_col))) if size_col is None else F.col(quoted(size_col)), "source_size": p_size, "target": p_target, "copies": F.array_compact(F.array(*picks))})
     return out.select(*[c for c in out.columns if c not in names])
 
 
