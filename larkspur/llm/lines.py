@@ -6,8 +6,8 @@ by the host's pages, exceed a ratio. Boilerplate lines are dropped from every pa
 Lines are compared by a 128-bit key of host and line (two xxhash64 of different seeds), so what is
 shuffled is two longs a line and map-side sums collapse the hot lines and hosts first. A page with
 L lines can hold at most L lines above the ratio r, so a host has at most (mean lines a page) / r
-boilerplate lines whatever its page count; they travel as one array for each host, and the pages'
-texts are never exploded back together.
+boilerplate lines whatever its page count; they travel as one table for each host, an array of small
+hash buckets, and the pages' texts are never exploded back together.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut, free, quoted
 
-RATIO, MIN_PAGES = 0.1, 5
+#: A line that only one page has is no duplicate, so two pages are the least; the ratio decides all else.
+RATIO, MIN_PAGES = 0.1, 2
+_BUCKET = 4
 _TAG = "\u0001"
 
 
@@ -35,13 +37,26 @@ def _key(host: Column, line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row for each host that has boilerplate: host, keys (array of line keys)."""
+    """One row for each host that has boilerplate: host, keys (its line keys in arrays by the key modulo their number, about ``_BUCKET`` in each)."""
     rows = pages.select(F.col(quoted(host_col)).alias("host"), F.col(quoted(text_col)).alias("text"))
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     keys = rows.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: ~_blank(x)), lambda x: _key(F.col("host"), x)))).alias("key"))
     counts = keys.groupBy("key", "host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     over = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).where(F.col("n") > F.lit(ratio) * F.col("pages"))
-    return over.groupBy(counts["host"].alias("host")).agg(F.collect_list("key").alias("keys"))
+    over = over.select(counts["host"].alias("host"), "key")
+    sized = over.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / _BUCKET).cast("int").alias("n")).select("host", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    slots = over.join(sized.where("at = 0").select(F.col("host").alias("h"), "n"), F.col("host").eqNullSafe(F.col("h"))).groupBy("host", _slot(F.col("key"), F.col("n")).alias("at")).agg(F.collect_list("key").alias("keys"))
+    filled = slots.select("host", "at", "keys").unionByName(sized.select("host", "at", F.array().cast(slots.schema["keys"].dataType).alias("keys")))
+    one = filled.groupBy("host", "at").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    return one.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "keys"))), lambda x: x["keys"]).alias("keys"))
+
+
+def _slot(key: Column, n: Column) -> Column:
+    return F.pmod(key["a"], n).cast("int")
+
+
+def _known(keys: Column, key: Column) -> Column:
+    return F.array_contains(F.get(keys, _slot(key, F.size(keys))), key)
 
 
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
@@ -49,18 +64,19 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
 
     A line is what stands between ``\\n``; lines without a word are neither counted nor dropped. A
     line is dropped when more than ``ratio`` of its host's pages and at least ``min_pages`` pages
-    contain it (repeats within a page count once). ``counts`` adds n_lines and n_dropped (lines with
+    contain it (repeats within a page count once); with ``min_pages`` 1 the ratio alone decides, and
+    small hosts lose every line. ``counts`` adds n_lines and n_dropped (lines with
     a word). A text all of whose lines go becomes empty; a null text stays null (0 lines); rows of a
     null host form one host; repeated rows count as pages of their own; an empty table stays empty.
 
-    The per-host arrays are written first, so the join with the pages broadcasts them exactly when
+    The per-host tables are written first, so the join with the pages broadcasts them exactly when
     their measured size allows it, and else sorts and splits hot hosts (adaptive skew join).
     """
     h, k, t, n = free(pages, "_host", "_keys", "_text", "_n")
     table = cut(boilerplate(pages, host_col, text_col, ratio, min_pages)).select(F.col("host").alias(h), F.col("keys").alias(k))
     host, text = F.col(quoted(host_col)), F.col(quoted(text_col))
     joined = pages.join(table, host.eqNullSafe(F.col(h)), "left")
-    good = F.filter(_lines(text), lambda x: _blank(x) | ~F.array_contains(F.col(k), _key(host, x)))
+    good = F.filter(_lines(text), lambda x: _blank(x) | ~_known(F.col(k), _key(host, x)))
     kept = F.when(F.col(k).isNull(), text).otherwise(F.array_join(good, "\n"))
     worded = lambda x: F.when(x.isNull(), 0).otherwise(F.size(F.filter(_lines(x), lambda y: ~_blank(y)))).cast("long")
     out = joined.select(*[F.col(quoted(c)) for c in pages.columns], kept.alias(t), *([worded(text).alias(n)] if counts else []))
