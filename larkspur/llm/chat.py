@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, quoted
 
 HEAD, END = "### ", "\n</turn>\n"
 _CONTROL = r"(\\|###|</turn>)"
@@ -48,10 +48,11 @@ def render_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     one order up to equal rows, which all stay. Null role and null text count as empty. Rows with a
     null conv_id form one conversation. Other columns are left out; an empty table gives no rows.
 
-    One shuffle by conversation. The running sums stream over a sorted partition and spill, so a
-    conversation that holds a third of all rows needs no memory for its turns.
+    One shuffle by conversation. A conversation is a sequence, so one task reads its turns in order;
+    the running sums stream over the sorted rows, which spill, so a conversation that holds a third
+    of all rows takes time, but no memory for its turns.
     """
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = turns.select(F.col(quoted(conv_col)).alias("conv_id"), F.col(quoted(turn_col)).alias("turn"), F.coalesce(F.col(quoted(role_col)).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("conv_id", "turn", "role", "text", F.concat(F.lit(HEAD), escaped(F.col("role"), _CONTROL_ROLE), F.lit(":\n")).alias("head"), escaped(F.col("text")).alias("body"))
@@ -65,8 +66,9 @@ def render_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 def expand_examples(rendered: DataFrame) -> DataFrame:
     """The whole examples: conv_id, position, formatted, loss_start, loss_end, one row for each target turn.
 
-    The output repeats contexts and so grows with the square of a conversation's length. A worker
-    holds one conversation's rendering at a time.
+    The output repeats contexts, as the method wants it, and so grows with the square of a
+    conversation's length. A worker holds one conversation's rendering at a time: its last example
+    is that rendering, one string of one row.
     """
     kind = rendered.schema["conv_id"].dataType.simpleString()
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import byte_bpe, chat, lines, mixture, neardup, quality, substrings, topk, urls, warc
+from larkspur.llm.common import cut
 from larkspur.session import ship_package
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -34,9 +35,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixture.mix(docs, mixture.plan_mixture(docs))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+    docs = cut(_table(spark, sf_dir, "documents").select("doc_id", "source", mixture.word_count(F.col("text")).alias("size")))
+    mixed = mixture.mix(docs, mixture.plan_mixture(docs, size_col="size"), size_col="size")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), F.array_join("copies", ",").alias("shards"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,23 +126,39 @@ from b left join x using (k) {" ".join(f"left join r{n} using (k)" for n in leng
 
 
 def _mixture_sql() -> str:
+    blocks, shards, seed = mixture.BLOCKS, mixture.SHARDS, 7
     weights = "case (row_number() over (order by source is null, encode(source))) % 3 when 1 then 5.0 when 2 then 2.0 else 1.0 end::double"
+    levels = (shards - 1).bit_length()
+    tree = []
+    for n in range(levels):
+        at = f"select *, (lo + hi) // 2 as mid, all_balls * ((lo + hi) // 2) // {shards} - all_balls * lo // {shards} as room, row_number() over (partition by lo, hi order by md5('{seed}:{n}:' || k || ':' || j), k, j) as nth from n{n}"
+        tree.append(f"n{n + 1} as (select k, j, all_balls, case when hi - lo = 1 or nth <= room then lo else mid end as lo, case when hi - lo = 1 or nth > room then hi else mid end as hi from ({at}))")
     return rf"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-        (('0x' || substr(md5('7:' || doc_id), 1, 8))::bigint & 2147483647) as place from documents),
+        (('0x' || substr(md5('{seed}:' || doc_id), 1, 8))::bigint & 2147483647) as place from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
-w as (select source, source_size, {weights} as weight from s),
+w as (select source, source_size, {weights} as weight, row_number() over (order by source is null, encode(source)) - 1 as idx from s),
 r as (select *, row_number() over (order by 3 * source_size / weight, weight) as k, sum(source_size) over () as total from w),
 c as (select *, coalesce(sum(3 * source_size) over (order by k rows between unbounded preceding and 1 preceding), 0)::double as capped,
         sum(weight) over (order by k rows between current row and unbounded following) as open_weight from r),
 l as (select min(k) filter (3 * source_size >= (total - capped) * weight / open_weight) as first_open from c),
 o as (select first(capped) as capped, first(open_weight) as open_weight from c, l where k = first_open),
-t as (select source, source_size, case when k < first_open then 3.0 * source_size else (total - o.capped) * weight / o.open_weight end::double as target from c, l, o),
-p as (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size = 0 then 0 else least(3, floor(t.target / t.source_size)) end::bigint as passes,
+t as (select source, idx, source_size, total, case when k < first_open then 3.0 * source_size else (total - o.capped) * weight / o.open_weight end::double as target from c, l, o),
+u as (select *, case when source_size = 0 then 0 else least(3, floor(target / source_size)) end::bigint as passes, case when total = 0 then 1 else greatest(1, least({blocks}, {blocks} * source_size // total)) end::bigint as n_blocks from t),
+p as (select d.doc_id, d.size, u.*, target - passes * source_size as rest, (place * n_blocks) >> 31 as block,
         sum(d.size) over (partition by d.source order by d.place, d.doc_id rows between unbounded preceding and current row) as upto
-    from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-    (size * (passes + case when passes < 3 and upto - size / 2 <= target - passes * source_size and target - passes * source_size > 0 then 1 else 0 end))::bigint as taken from p"""
+    from d join u on d.source is not distinct from u.source),
+e as (select idx, min(block) as edge from (select idx, block, rest, passes, sum(sum(size)) over (partition by idx order by block) as cum from p group by idx, block, rest, passes) where cum >= rest and rest > 0 and passes < 3 group by idx),
+q as (select idx as k, (passes * n_blocks + coalesce(edge + 1, 0))::bigint as quota from u left join e using (idx)),
+n0 as (select k, unnest(range(quota)) as j, (select sum(quota) from q)::bigint as all_balls, 0 as lo, {shards} as hi from q),
+{", ".join(tree)},
+b as (select k, j, row_number() over (partition by k order by md5('{seed}:block:' || k || ':' || j), j) as nth from n0),
+f as (select k, lo as shard, sum(count(*)) over (partition by k order by lo) as upto, count(*) as n from n{levels} group by k, lo),
+x as (select b.k, b.j, f.shard from b join f on b.k = f.k and b.nth <= f.upto and b.nth > f.upto - f.n),
+y as (select p.*, unnest([0, 1, 2]) as pass from p),
+z as (select doc_id, pass, x.shard from y join x on y.idx = x.k and x.j = pass * n_blocks + block where pass < passes or (pass = passes and upto - size / 2 <= rest and rest > 0)),
+m as (select doc_id, count(*) as n, string_agg(shard::varchar, ',' order by pass) as shards from z group by doc_id)
+select doc_id, size, source_size, target, (size * coalesce(n, 0))::bigint as taken, coalesce(shards, '') as shards from p left join m using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -192,7 +192,7 @@ TURNS = [
 
 def test_chat_round_trip(spark):
     df = spark.createDataFrame([(*t, 0) for t in TURNS], "conv_id long, turn long, role string, text string, segment int")
-    rendered = chat.render_turns(df)
+    rendered = chat.render_turns(df.withColumnRenamed("conv_id", "conv.id"), conv_col="conv.id")
     found = {r["conv_id"]: r for r in chat.read_back(rendered).collect()}
     groups = {}
     for c, t, r, x in TURNS:
