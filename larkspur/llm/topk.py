@@ -7,13 +7,17 @@ and largest distance and largest norm. A query expands blocks by falling upper b
 below its k-th best score, so results are exact whatever the pivots are; these are fitted on a
 bounded sample, but every vector is indexed.
 
-The directory has at most about ``MAX_BLOCKS`` rows (blocks grow with the data) and is broadcast.
-Queries are sorted like the index and go through in chunks; a task holds one chunk and a few blocks,
-which it reads from the shared folder by byte range.
+A block holds at most ``BLOCK_ROWS`` vectors and ``BLOCK_BYTES`` bytes (one vector at least). The
+directory is an entry a block; where it has more than ``ROOT_ROWS`` entries, they are written in
+pages of one cell each, with a directory of their own, and so on: what is broadcast is bounded
+whatever the data. Queries are sorted like the index and go through in chunks; a task holds one
+chunk and a few pages and blocks, which it reads from the shared folder by byte range.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -22,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, quoted, shared_folder
+from larkspur.llm.common import cut, discard, quoted, shared_folder
 from larkspur.llm.warc import _Appender, _Ranges
 
-SCALE, PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS, MAX_BLOCKS = 64, 64, 4096, 1024, 65_536
+SCALE, PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS, BLOCK_BYTES, ROOT_ROWS, PAGE_ROWS = 64, 64, 4096, 1024, 1 << 22, 16_384, 1024
 #: Floats hold integers exactly up to here; larger products are summed with Python's integers.
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
@@ -92,10 +96,10 @@ def _keyed(vectors: DataFrame, pivots: dict[int, np.ndarray], scale: float) -> D
     return vectors.mapInArrow(run, _KEYED)
 
 
-_DIRECTORY = "dim int, cell int, low double, high double, norm double, largest double, n int, file string, at bigint, size bigint"
+_DIRECTORY = "dim int, cell int, low double, high double, norm double, largest double, n bigint, file string, at bigint, size bigint"
 
 
-def _write_blocks(keyed: DataFrame, block_rows: int) -> DataFrame:
+def _write_blocks(keyed: DataFrame, block_rows: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     folder = shared_folder(keyed.sparkSession) + "/vectors"
     order = ["dim", "cell", "distance", "vec_id"]
 
@@ -114,7 +118,7 @@ def _write_blocks(keyed: DataFrame, block_rows: int) -> DataFrame:
 
         for batch in batches:
             for vec, dim, cell, distance, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if waiting and (key != (dim, cell) or len(waiting) >= block_rows):
+                if waiting and (key != (dim, cell) or len(waiting) >= block_rows or (len(waiting) + 1) * (len(raw) + 8) > block_bytes):
                     yield flush()
                 key = (dim, cell)
                 waiting.append((vec, distance, raw))
@@ -127,48 +131,107 @@ def _write_blocks(keyed: DataFrame, block_rows: int) -> DataFrame:
 
 
 _NAMES = [x.split()[0] for x in _DIRECTORY.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+_TYPES = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+
+def _paged(directory: DataFrame, root_rows: int, page_rows: int) -> tuple[list[tuple], int]:
+    """At most ``root_rows`` entries (or one for each cell and length, if these are more) and the number of levels of pages below them."""
+    folder = shared_folder(directory.sparkSession) + "/pages"
+    order = ["dim", "cell", "low", "file", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, waiting = None, []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out
+            out = out or _Appender(folder, ".dir.z")
+            data = zlib.compress(json.dumps(waiting).encode(), 1)
+            low, high, norm, largest, n = min(r[2] for r in waiting), *(max(r[i] for r in waiting) for i in (3, 4, 5)), sum(r[6] for r in waiting)
+            row = [*waiting[0][:2], low, high, norm, largest, n, out.url, out.add(data), len(data)]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and (waiting[0][:2] != row[:2] or len(waiting) >= page_rows):
+                    yield flush()
+                waiting.append(row)
+        if waiting:
+            yield flush()
+        if out is not None:
+            out.stream.close()
+
+    levels, count = 0, directory.count()
+    while count > root_rows:
+        above = cut(directory.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _DIRECTORY))
+        fewer = above.count()
+        if fewer == count:
+            break
+        directory, levels, count = above, levels + 1, fewer
+    return [tuple(r) for r in directory.orderBy(*order).collect()], levels
+
+
+class _Entries:
+    """Entries of a directory of one vector length, as arrays."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.cell = np.array([r[1] for r in rows])
+        self.low, self.high, self.norm, self.largest = (np.array([r[i] for r in rows], dtype=np.float64) for i in (2, 3, 4, 5))
 
 
 class _Searcher:
-    """Searches chunks of queries of one length in the blocks of a directory."""
-
-    def __init__(self, rows: list[tuple], pivots: dict[int, np.ndarray], k: int):
-        self.k, self.pivots, self.ranges = k, pivots, _Ranges()
-        self.by_dim: dict[int, dict] = {}
-        for dim in {r[0] for r in rows}:
-            own = [r for r in rows if r[0] == dim]
-            self.by_dim[dim] = {"rows": own} | {n: np.array([r[i] for r in own], dtype=np.float64) for i, n in ((2, "low"), (3, "high"), (4, "norm"), (5, "largest"))} | {"cell": np.array([r[1] for r in own])}
+    """Searches chunks of queries of one length in the blocks below a directory."""
+
+    def __init__(self, rows: list[tuple], levels: int, pivots: dict[int, np.ndarray], k: int):
+        self.k, self.levels, self.pivots, self.ranges = k, levels, pivots, _Ranges()
+        self.by_dim = {dim: _Entries([r for r in rows if r[0] == dim]) for dim in {r[0] for r in rows}}
         self.cache: OrderedDict = OrderedDict()
+        self.pages: OrderedDict = OrderedDict()
         self.read_blocks = 0
 
-    def block(self, dim: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        if (dim, b) in self.cache:
-            self.cache.move_to_end((dim, b))
-            return self.cache[(dim, b)]
-        *_, n, file, at, size = self.by_dim[dim]["rows"][b]
-        data = self.ranges.read(file, at, size)
+    def block(self, row: tuple) -> tuple[np.ndarray, np.ndarray]:
+        dim, n, *where = row[0], *row[6:]
+        key = tuple(where)
+        if key in self.cache:
+            self.cache.move_to_end(key)
+            return self.cache[key]
+        data = self.ranges.read(*where)
         found = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, n * dim, 8 * n).reshape(n, dim)
-        self.cache[(dim, b)] = found
+        self.cache[key] = found
         self.read_blocks += 1
         while len(self.cache) > 1 and sum(x.nbytes for _, x in self.cache.values()) > 1 << 26:
             self.cache.popitem(last=False)
         return found
 
+    def page(self, row: tuple) -> _Entries:
+        key = row[7:]
+        if key not in self.pages:
+            self.pages[key] = _Entries([tuple(r) for r in json.loads(zlib.decompress(self.ranges.read(*key)))])
+            while len(self.pages) > 16:
+                self.pages.popitem(last=False)
+        self.pages.move_to_end(key)
+        return self.pages[key]
+
     def chunk(self, dim: int) -> int:
-        return int(np.clip((1 << 21) // max(1, len(self.by_dim[dim]["rows"])), 16, 256))
+        return int(np.clip((1 << 21) // max(1, len(self.by_dim[dim].rows)), 16, 256))
 
     def search(self, ids: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, list[int]]]:
         """For each query the vec_ids and scores of its k best."""
         dim = q.shape[1]
-        d = self.by_dim[dim]
-        far = np.sqrt(_squares(q, self.pivots.get(dim, np.zeros((1, dim)))))[:, d["cell"]]
-        gap = np.maximum(0, np.maximum(far - d["high"], d["low"] - far))
-        squares = (q**2).sum(1)[:, None]
-        bounds = (squares + d["norm"] - gap**2) / 2
-        bounds = np.where(np.isnan(bounds), np.inf, bounds + 1e-9 * (squares + d["norm"]) + 1e-6)
         best = [(np.zeros(0, np.int64), np.zeros(0, object)) for _ in ids]
-        limit = np.full(len(ids), -np.inf)
+        if dim in self.by_dim:
+            far = np.sqrt(_squares(q, self.pivots.get(dim, np.zeros((1, dim)))))
+            self._expand(self.by_dim[dim], self.levels, ids, q, far, best, np.full(len(ids), -np.inf))
+        return [(a, list(s)) for a, s in best]
+
+    def _expand(self, d: _Entries, level: int, ids: np.ndarray, q: np.ndarray, far: np.ndarray, best: list, limit: np.ndarray) -> None:
+        """Takes the entries by falling bound until none can still matter; pages are expanded in their turn."""
+        dim = q.shape[1]
+        gap = np.maximum(0, np.maximum(far[:, d.cell] - d.high, d.low - far[:, d.cell]))
+        squares = (q**2).sum(1)[:, None]
+        bounds = (squares + d.norm - gap**2) / 2
+        bounds = np.where(np.isnan(bounds), np.inf, bounds + 1e-9 * (squares + d.norm) + 1e-6)
         top = bounds.max(axis=0)
         for b in np.argsort(-top, kind="stable"):
             if top[b] < limit.min():
@@ -176,8 +239,16 @@ class _Searcher:
             need = np.flatnonzero(bounds[:, b] >= limit)
             if not len(need):
                 continue
-            vec, x = self.block(dim, int(b))
-            largest = np.abs(q[need]).max() * d["largest"][b] * dim
+            if level:
+                inner = limit[need]
+                chosen = [best[i] for i in need]
+                self._expand(self.page(d.rows[b]), level - 1, ids[need], q[need], far[need], chosen, inner)
+                limit[need] = inner
+                for i, found in zip(need, chosen, strict=True):
+                    best[i] = found
+                continue
+            vec, x = self.block(d.rows[b])
+            largest = np.abs(q[need]).max() * d.largest[b] * dim
             if largest < _EXACT:
                 scores = q[need] @ x.T
             else:
@@ -197,10 +268,9 @@ class _Searcher:
                     limit[i] = float(all_scores[order[-1]])
                     if abs(limit[i]) >= _EXACT:
                         limit[i] = np.nextafter(limit[i], -np.inf)
-        return [(a, list(s)) for a, s in best]
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, root_rows: int = ROOT_ROWS, page_rows: int = PAGE_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best scores of each row for which ``is_query`` holds.
 
     Components become floor(scale * x); the score is the integer inner product with every other row
@@ -216,9 +286,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     found: dict[int, np.ndarray] = {x.shape[1]: choose_pivots(x, pivots) for _, x in quantised(sample.column(0), scale)} if sample.num_rows else {}
     keyed = cut(_keyed(rows.select("vec_id", "vector"), found, scale))
     total = keyed.count()
-    directory = _write_blocks(keyed, max(block_rows, -(-total // MAX_BLOCKS)))
-    blocks = [tuple(r) for r in directory.orderBy("dim", "cell", "low", "file", "at").collect()]  # about MAX_BLOCKS rows at most
-    shared = spark.sparkContext.broadcast((blocks, found, k))
+    directory = _write_blocks(keyed, block_rows)
+    root, levels = _paged(directory, root_rows, page_rows)
+    discard(keyed, directory)
+    shared = spark.sparkContext.broadcast((root, levels, found, k))  # bounded by root_rows
     asked = _keyed(rows.where("is_query").select("vec_id", "vector"), found, scale)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_000_000))
 
