@@ -1,17 +1,18 @@
 """Operator 10: substring dedup by level-wise doubling.
 
 A word is removed when it lies in a window of ``length`` words that also starts in a document with a
-smaller id. Windows are found level by level: at half the length only *selected* windows are looked
-at, the smallest hash in each stretch of them, and what two documents have in common is selected in
-both, because the choice depends on the stretch alone. Every window of the full length holds one
-selected half-length window. Those that occur in one document only end there; the others are
-extended to twice the length, which is ``length`` itself: longer repeats are covered by its windows,
-so no candidate survives that level unmarked.
+smaller id. Windows are found level by level, from a quarter of the length up (13, 25, 50 words). At
+the first level only *selected* windows are looked at, the smallest hash in each window of the full
+length: what two documents have in common is selected in both, because the choice depends on the
+full window alone. What occurs in one document only ends there; what is repeated is extended to
+twice its length inside the same full windows, and so on until no candidate survives or the full
+length is reached. Longer repeats are covered by windows of that length, so nothing is gained beyond.
 
 Documents whose words equal those of a document with a smaller id are settled as a whole, so groups
-of exact copies bring no windows. Everything else is keyed by hashes: map-side minima are taken
-before each shuffle, and look-ups of hot keys are split (adaptive skew join). No document or window list is collected;
-texts are shuffled once for the windows of candidate documents and once for the result.
+of exact copies bring no windows. Everything else is keyed by hashes: minima are combined map-side
+and written before they are joined, so both sides of a look-up are shuffled and adaptive execution
+splits hot keys. No document or window list is collected; texts are shuffled once for the documents
+with candidates at the first level, again for those of each later one, and once for the result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, map_arrow, quoted
+from larkspur.llm.common import cut, discard, map_arrow, quoted
 from larkspur.llm.words import Block, blocks, mix, window_hashes, word_hashes
 
 LENGTH = 50
@@ -42,6 +43,11 @@ def _row_tags(block: Block, words: tuple[np.ndarray, np.ndarray]) -> tuple[np.nd
     return out[0], out[1]
 
 
+def levels(length: int) -> list[int]:
+    """Window lengths, each (about) twice the one before it: a quarter, a half, the whole."""
+    return sorted({-(-length // 4), -(-length // 2), length})
+
+
 def owners(block: Block, hashes: np.ndarray, seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all ``length``-word windows, of the ``seed``-word window that is selected in each, and the seed windows' hashes.
 
@@ -64,6 +70,11 @@ def owners(block: Block, hashes: np.ndarray, seed: int, length: int) -> tuple[np
     return begin, where[begin], small
 
 
+def extended(begin: np.ndarray, owner: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Where each full window's candidate of ``size`` words starts: at the selected one, or earlier so as to end with the window."""
+    return np.minimum(owner, begin + length - size)
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -101,14 +112,14 @@ def _probe(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return map_arrow(docs, run, "key bigint, check bigint, doc bigint, at bigint").where(F.col("doc").isNotNull())
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs in more than one document, with ``low``, the smallest such id.
+def _repeated(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows (a written table) whose key occurs in more than one document, with ``low``, the smallest such id; and the table of those ids.
 
-    Minima are combined map-side; in the join a key that very many rows share is split by adaptive
-    execution, since only the rows' side can be skewed.
+    Minima are combined map-side and written; in the join both sides then have a shuffle of their
+    own, so adaptive execution splits the rows of a key that very many share.
     """
-    low = rows.groupBy(*keys).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    return rows.join(low, keys)
+    low = cut(rows.groupBy(*keys).agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"))
+    return rows.join(low, keys), low
 
 
 _TEXTS = "doc bigint, tag bigint, packed binary"
@@ -141,8 +152,13 @@ def _unpacked(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         yield begin, pa.array(texts, pa.large_binary())
 
 
-def _windows(candidates: DataFrame, length: int, seed: int) -> DataFrame:
-    """Rows (key, check, doc, at) of all full-length windows whose selected window is repeated; key and check have 96 bits."""
+def _windows(candidates: DataFrame, length: int, sizes: tuple[int, int, int]) -> DataFrame:
+    """Rows (key, check, doc, at) of candidates of the last of ``sizes`` words; key and check have 96 bits.
+
+    ``sizes``: of the first level, of the level before, whose repeated positions are ``places``, and
+    of this one.
+    """
+    seed, before, size = sizes
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for first, texts in _unpacked(batch.column(2)):
@@ -152,8 +168,9 @@ def _windows(candidates: DataFrame, length: int, seed: int) -> DataFrame:
                 for i in range(block.n):
                     known[np.asarray(batch.column(3)[first + block.first + i].values) + block.word_at[i]] = True
                 begin, owner, _ = owners(block, words[0], seed, length)
-                begin = begin[known[owner]]
-                keys = [window_hashes(w, length, f)[begin] for f, w in enumerate(words)]
+                alive = known[extended(begin, owner, length, before)]
+                begin = np.unique(extended(begin[alive], owner[alive], length, size))
+                keys = [window_hashes(w, size, f)[begin] for f, w in enumerate(words)]
                 text = np.searchsorted(block.word_at, begin, side="right") - 1
                 tags = batch.column(1).to_numpy(zero_copy_only=False)[first + block.first + text]
                 yield pa.RecordBatch.from_arrays([_long(keys[0]), pa.array((keys[1] >> np.uint64(32)).astype(np.int64)), batch.column(0).take(pa.array(first + block.first + text)), pa.array(((begin - block.word_at[text]) << 32) | tags)], names=["key", "check", "doc", "at"])
@@ -177,19 +194,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     ``length`` words lose none. Null and empty texts have no words and an empty result. Repeated
     rows of one id never remove each other's words (no id is smaller), but rows of larger ids do
     lose what they share. Rows with a null id have no order: they neither lose nor remove words.
-    Ids are integers. Other columns are left out; an empty table gives an empty result.
+    Ids are integers. Other columns are left out; an empty table gives an empty result. ``id_col``
+    may not have the name of an output.
     """
-    seed = length // 2
-    spark = docs.sparkSession
+    if id_col.lower() in ("n_words", "n_removed", "kept_sha256", "kept"):
+        raise ValueError(f"the id column can't be named {id_col}")
+    sizes = levels(length)
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), F.col(quoted(text_col)).alias("text"))
-    found = cut(_repeated(_probe(rows, length, seed), ["key", "check"]))
+    probe = cut(_probe(rows, length, sizes[0]))
+    both, low = _repeated(probe, ["key", "check"])
+    found = cut(both)
+    discard(probe, low)
     is_text = F.col("at").bitwiseAND(F.lit(1 << 62)) != 0
     copies = cut(found.where(is_text & (F.col("doc") > F.col("low"))).select("doc", _tag().alias("tag")).distinct())
-    places = _places(found.where(~is_text)).join(copies, ["doc", "tag"], "left_anti")
-    places = cut(places)
+    places = cut(_places(found.where(~is_text & (F.lit(len(sizes) > 1) | (F.col("doc") > F.col("low"))))).join(copies, ["doc", "tag"], "left_anti"))
+    discard(found)
     packed = _packed(rows)
-    windows = cut(_windows(packed.join(places, ["doc", "tag"]), length, seed))
-    doomed = cut(_places(_repeated(windows, ["key", "check"]).where(F.col("doc") > F.col("low"))))
+    texts_of = packed
+    for before, size in zip(sizes, sizes[1:], strict=False):
+        if places.isEmpty():  # no candidate survives
+            break
+        candidates = cut(texts_of.join(places, ["doc", "tag"]))
+        windows = cut(_windows(candidates, length, (sizes[0], before, size)))
+        both, low = _repeated(windows, ["key", "check"])
+        # Below the full length the smallest document's windows go on too: the next level compares with them.
+        longer = cut(_places(both if size < length else both.where(F.col("doc") > F.col("low"))))
+        discard(places, windows, low, *([texts_of] if texts_of is not packed else []))
+        places, texts_of = longer, candidates.drop("places")
+        texts_of._cut = candidates._cut
+    if texts_of is not packed:
+        discard(texts_of)
+    doomed = places
     # A whole copy loses every word; it is marked by a null array.
     marks = doomed.withColumn("all", F.lit(False)).unionByName(copies.select("doc", "tag", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("all")))
     joined = packed.join(marks, ["doc", "tag"], "left").select("doc", "packed", "places", F.coalesce("all", F.lit(False)).alias("all"))

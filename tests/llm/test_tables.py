@@ -166,6 +166,8 @@ def test_top_k_against_brute_force(spark):
     vectors += [(700, None), (720, []), (740, [1.0, None] + [0.0] * 6), (760, [float("nan")] * 8), (780, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (800, [1.0, 2.0]), (801, [3.0, -1.0]), (820, [1e12] + [0.0] * 7), (821, [-1e12, 3.0] + [1.0] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, rank string")
     found = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=7, pivots=9, block_rows=16)
+    paged = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=7, pivots=9, block_rows=4, root_rows=20, page_rows=3)
+    assert sorted(tuple(r) for r in paged.collect()) == sorted(tuple(r) for r in found.collect())
     assert sorted(tuple(r) for r in found.collect()) == [(a, b, c, max(-(1 << 63), min((1 << 63) - 1, d))) for a, b, c, d in brute_top(vectors, 7)]
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -177,9 +179,13 @@ def test_top_k_reads_few_blocks_of_clustered_vectors(spark):
     pivots = {12: topk.choose_pivots(np.floor(64 * x), 16)}
     directory = topk._write_blocks(topk._keyed(df, pivots, 64), 16)
     rows = [tuple(r) for r in directory.orderBy("dim", "cell", "low").collect()]
-    searcher = topk._Searcher(rows, pivots, 20)
+    searcher = topk._Searcher(rows, 0, pivots, 20)
     searcher.search(np.array([0]), np.floor(64 * x[:1]))
     assert searcher.read_blocks < len(rows) / 4
+    few, levels = topk._paged(directory, 20, 2)
+    assert levels == 2 and len(few) < len(rows) / 3
+    small = topk._write_blocks(topk._keyed(df, pivots, 64), 1024, 5 * (12 * 8 + 8)).select("n", "size").collect()
+    assert sum(r["n"] for r in small) == 1024 and max(r["n"] for r in small) == 5
 
 
 def brute_repeats(docs, length):
