@@ -272,7 +272,7 @@ def test_near_classes_against_brute_force(spark):
     assert len(found) == len(docs) and sum(r["doc_id"] is None and r["class_id"] is None for r in found) == 2
     want = brute_classes(docs)
     got = {r["doc_id"]: r["class_id"] for r in found if r["doc_id"] is not None}
-    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
     assert all(want[i] == want[c] for i, c in got.items())  # nothing is merged that isn't linked
     assert neardup.near_classes(df.limit(0)).count() == 0
     kept = neardup.drop_near_copies(df)
@@ -284,14 +284,14 @@ def test_a_large_group_of_copies_is_one_class(spark):
     docs = corpus(rng, 1, 3000, 100) + [(10**6 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(80))) for i in range(300)]
     found = {r["doc_id"]: r["class_id"] for r in neardup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     group = Counter(c for i, c in found.items() if i < 10**6)
-    assert group.most_common(1)[0][1] >= 2990 and all(found[i] == i for i in found if i >= 10**6)
+    assert group.most_common(1)[0][1] == 3000 and all(found[i] == i for i in found if i >= 10**6)
 
 
 def test_forest_recall_grows_with_the_corpus():
     for n in (10, 10**5, 10**9):
         depth, trees = neardup.forest_shape(n)
         same_prefix = (1 - neardup.differing_share(0.8)) ** depth
-        assert 1 - (1 - same_prefix) ** trees >= neardup.RECALL
+        assert 1 - (1 - same_prefix) ** (trees - 1) >= neardup.RECALL
 
 
 def test_components(spark):
@@ -328,5 +328,5 @@ def test_pieces_of_dense_buckets_meet(spark, monkeypatch):
     for r in planted.collect():
         buckets[r["bucket"]].append(r["doc"])
     want = {(x, y) for docs in buckets.values() if len(docs) > 64 for x in docs for y in docs if x < y and bits[x][2] != bits[y][2] and near(x, y)}
-    assert {tuple(r) for r in neardup._dense_pairs(planted, 0.8).collect()} == want and len(want) > 5000
-    assert neardup._dense_pairs(neardup._planted(df.limit(20), 2, 1), 0.8) is None
+    assert {tuple(r) for r in neardup._dense_pairs(planted, 0.8, []).collect()} == want and len(want) > 5000
+    assert neardup._dense_pairs(neardup._planted(df.limit(20), 2, 1), 0.8, []) is None
