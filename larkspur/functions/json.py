@@ -12,7 +12,7 @@ from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, LongType, StringType
@@ -86,11 +86,18 @@ def _walk(value: Any, steps: list[tuple], at: tuple = ()) -> list[tuple[tuple, A
     return found
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+_DECODER = json.JSONDecoder(parse_constant=_refuse)
+
+
 def _load(text: str | None) -> Any:
     if text is None:
         return _MISSING
     try:
-        return json.loads(text, parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+        return _DECODER.decode(text)
     except (ValueError, RecursionError):
         return _MISSING
 
@@ -103,24 +110,40 @@ def _tight(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def _scalar(value: Any) -> Any:
-    """A SQL argument as a JSON value; text stays text."""
-    return None if value is None or value is pd.NA or (isinstance(value, float) and value != value) else value.item() if hasattr(value, "item") else value
-
-
 def _apply(kind: DataType, function: Callable[..., Any], *columns: Column) -> Column:
     """Row by row over Arrow batches; the function gets Python values and may return None."""
 
-    @F.pandas_udf(kind)
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([function(*[_scalar(v) for v in row]) for row in zip(*series, strict=True)], dtype=object if isinstance(kind, StringType) else "Int64")
+    made = pa.string() if isinstance(kind, StringType) else pa.int64()
+
+    @F.arrow_udf(kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array(map(function, *(c.to_pylist() for c in columns)), made)
 
     return run(*columns)
 
 
-def _on_document(kind: DataType, function: Callable[..., Any], doc: Col, *others: Column) -> Column:
+#: Documents parsed last, for functions that only read: those of one row set look at the same texts. About ``_KEPT`` characters are kept.
+_PARSED: dict[str | None, Any] = {}
+_KEPT, _held = 1 << 23, [0]
+
+
+def _parsed(text: str | None) -> Any:
+    found = _PARSED.get(text, _PARSED)
+    if found is _PARSED:
+        _held[0] += 100 + len(text or "")
+        if _held[0] > _KEPT:
+            _PARSED.clear()
+            _held[0] = 0
+        found = _PARSED[text] = _load(text)
+    return found
+
+
+def _on_document(kind: DataType, function: Callable[..., Any], doc: Col, *others: Column, reads: bool = True) -> Column:
+    """``function`` of the parsed document; one that changes it says so with ``reads``."""
+    load = _parsed if reads else _load
+
     def run(text: str | None, *rest: Any) -> Any:
-        value = _load(text)
+        value = load(text)
         return None if value is _MISSING else function(value, *rest)
 
     return _apply(kind, run, _text(doc), *others)
@@ -371,7 +394,7 @@ def _edits(j: Col, pairs: tuple[tuple[str, Column | object], ...], how: Callable
             value = how(value, steps, new)
         return _loose(value)
 
-    return _on_document(StringType(), run, j, *[_value(v) for _, v in pairs])
+    return _on_document(StringType(), run, j, *[_value(v) for _, v in pairs], reads=False)
 
 
 def json_insert(j: Col, *pairs: tuple[str, Column | object]) -> Column:
@@ -419,7 +442,7 @@ def json_remove(j: Col, *paths: str) -> Column:
             value = drop(value, steps) if steps else value
         return _loose(value)
 
-    return _on_document(StringType(), run, j)
+    return _on_document(StringType(), run, j, reads=False)
 
 
 def _merged(a: Any, b: Any) -> Any:

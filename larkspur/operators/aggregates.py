@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,14 +31,36 @@ def covar_samp(y: Col, x: Col) -> Column:
     return F.when(F.regr_count(col(y), col(x)) == 1, 0.0).otherwise(F.covar_samp(col(y), col(x)))
 
 
-def group_concat(*parts: Col, separator: str = ",", order_by: Sequence[Column] = (), distinct: bool = False) -> Column:
-    """Rows with a NULL part are skipped; without an order, values are sorted so that runs agree."""
+@dataclass(frozen=True)
+class Descending:
+    """An item of ``order_by`` that falls; NULLs come last, in rising items first."""
+
+    by: Col
+
+
+def group_concat(*parts: Col, separator: str = ",", order_by: Sequence[Col | Descending] = (), distinct: bool = False) -> Column:
+    """Rows with a NULL part are skipped; ties, and all rows without an order, are sorted by text so that runs agree.
+
+    A group without values gives NULL, one of empty texts an empty text. With ``distinct`` a text
+    stands where its first row in the order does.
+    """
     text = F.concat(*[col(p).cast("string") for p in parts])
-    if distinct:
-        return F.nullif(F.array_join(F.sort_array(F.collect_set(text)), separator), F.lit(""))
-    keys = list(order_by)
-    row = F.when(text.isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], text.alias("t")))
-    return F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["t"]), separator), F.lit(""))
+    falls = [isinstance(k, Descending) for k in order_by] + [False]
+    keys = [col(k.by if isinstance(k, Descending) else k) for k in order_by] + [text]
+    row = F.when(text.isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for i in range(len(keys) - 1, -1, -1):
+            x, y = a[f"k{i}"], b[f"k{i}"]
+            less = F.coalesce(x < y, x.isNull() & y.isNotNull())
+            more = F.coalesce(x > y, y.isNull() & x.isNotNull())
+            out = F.when(less, 1 if falls[i] else -1).when(more, -1 if falls[i] else 1).otherwise(out)
+        return out
+
+    rows = F.collect_set(row) if distinct else F.collect_list(row)
+    texts = F.transform(F.array_sort(rows, compare) if any(falls) else F.array_sort(rows), lambda r: r[f"k{len(keys) - 1}"])
+    return F.when(F.count(text) > 0, F.array_join(F.array_distinct(texts) if distinct else texts, separator))
 
 
 def json_arrayagg(x: Col, order_by: Sequence[Column] = ()) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import pickle
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
 
@@ -153,5 +154,72 @@ def aggregate_with(df: DataFrame, keys: Sequence[str], values: Sequence[str], fu
             yield flush()
 
     states = df.select(*keys, *values).mapInArrow(partial, f"{key_schema}_state string")
-    spread = states.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys) if keys else states.coalesce(1)
+    spread = states.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys) if keys else states.repartition(1)
     return spread.mapInArrow(final, f"{key_schema}{out} {kind}")
+
+
+class WindowAggregate(Protocol):
+    """An analytic aggregate: rows enter the frame by ``next`` and leave it by ``drop``."""
+
+    def reset(self) -> Any: ...
+
+    def next(self, state: Any, value: Any) -> Any: ...
+
+    def drop(self, state: Any, value: Any) -> Any: ...
+
+    def evaluate(self, state: Any) -> Any: ...
+
+
+def window_with(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str], value: str, function: WindowAggregate, out: str, preceding: int | None = None, following: int = 0, kind: str = "double") -> DataFrame:
+    """``df`` with ``out``, a Python analytic aggregate over ROWS ``preceding`` PRECEDING (None: unbounded) to ``following`` FOLLOWING.
+
+    Rows stream in order through each partition; a task holds the rows of one frame (with an
+    unbounded start, those that wait for followers). ``partition_by`` has a column at least. NULLs
+    come first in the order and are values like others for ``function``.
+    """
+    ship_package(df.sparkSession)
+    at = [df.columns.index(c) for c in partition_by], df.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, inside, waiting, schema = None, None, deque(), deque(), None
+
+        def close(frame_end: bool) -> Iterator[tuple]:
+            """The waiting rows whose frame is complete."""
+            nonlocal state
+            while waiting and (frame_end or waiting[0][1] <= 0):
+                row, _ = waiting.popleft()
+                yield (*row, function.evaluate(state))
+                # The next row's frame begins one later, once it is full.
+                done[0] += 1
+                if preceding is not None and done[0] > preceding:
+                    state = function.drop(state, inside.popleft())
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)], pa.array(columns[-1])], names=[*schema.names, out])
+
+        done, made = [0], []
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                key = tuple(row[i] for i in at[0])
+                if key != now:
+                    made += close(True)
+                    now, state, done[0] = key, function.reset(), 0
+                    inside.clear()
+                state = function.next(state, row[at[1]])
+                if preceding is not None:
+                    inside.append(row[at[1]])
+                for w in waiting:
+                    w[1] -= 1
+                waiting.append([row, following])
+                made += close(False)
+            if len(made) > 10_000:
+                yield batch_of(made)
+                made = []
+        made += close(True)
+        if made:
+            yield batch_of(made)
+
+    rows = df.repartition(*[F.col(c) for c in partition_by]).sortWithinPartitions(*partition_by, *order_by)
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out} {kind}")

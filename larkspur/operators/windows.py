@@ -12,14 +12,15 @@ def count_distinct(x: Col, window: WindowSpec) -> Column:
     return F.size(F.collect_set(col(x)).over(window)).cast("bigint")
 
 
-def sum_distinct(x: Col, window: WindowSpec) -> Column:
-    """NULL over no values."""
+def sum_distinct(x: Col, window: WindowSpec, kind: str | None = None) -> Column:
+    """NULL over no values. Integers are summed as bigint, doubles as such; ``kind``: the type to sum in, for decimals."""
     values = F.array_sort(F.collect_set(col(x)).over(window))
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast("double"), lambda a, v: a + v.cast("double")))
+    zero = F.element_at(values, 1) * F.lit(0).cast("bigint") if kind is None else F.lit(0).cast(kind)
+    return F.when(F.size(values) > 0, F.aggregate(values, zero, lambda a, v: a + v if kind is None else (a + v).cast(kind)))
 
 
 def avg_distinct(x: Col, window: WindowSpec) -> Column:
-    return F.try_divide(sum_distinct(x, window), count_distinct(x, window).cast("double"))
+    return F.try_divide(sum_distinct(x, window).cast("double"), count_distinct(x, window).cast("double"))
 
 
 def lead(x: Col, window: WindowSpec, offset: int = 1, default: object = None, ignore_nulls: bool = False) -> Column:

@@ -80,15 +80,41 @@ def aggregate_group_concat(t: Tables) -> DataFrame:
     return t.nation.groupBy("n_regionkey").agg(A.group_concat("n_name", F.lit(":"), "n_nationkey", separator=";", order_by=[F.col("n_nationkey")]).alias("l"), A.group_concat("n_regionkey", distinct=True).alias("d"))
 
 
+@plan("""select c_mktsegment, string_agg(c_name, ';' order by c_nationkey desc, c_name) as l, string_agg('', '') as e, string_agg(distinct c_nationkey::varchar, ',' order by c_nationkey::varchar desc) as d from customer group by 1""")
+def aggregate_group_concat_descending(t: Tables) -> DataFrame:
+    down = A.Descending("c_nationkey")
+    return t.customer.groupBy("c_mktsegment").agg(A.group_concat("c_name", separator=";", order_by=[down]).alias("l"), A.group_concat(F.lit(""), separator="").alias("e"), A.group_concat("c_nationkey", order_by=[A.Descending(F.col("c_nationkey").cast("string"))], distinct=True).alias("d"))
+
+
+_MONEY = "o_totalprice::decimal(12, 2)"
+
+
+@plan(f"""select o_orderstatus, sum({_MONEY})::double as s, round(avg({_MONEY}), 4) as a, sum(distinct {_MONEY})::double as sd, min({_MONEY})::double as lo, 'decimal(16,6)' as kind from orders group by 1""")
+def aggregate_decimals(t: Tables) -> DataFrame:
+    """AVG of a decimal has four more digits; sums are exact."""
+    x = F.col("o_totalprice").cast("decimal(12,2)")
+    found = t.orders.groupBy("o_orderstatus").agg(F.sum(x).alias("s"), F.avg(x).alias("a"), F.sum_distinct(x).alias("sd"), F.min(x).alias("lo"))
+    return found.select("o_orderstatus", F.col("s").cast("double").alias("s"), F.round(F.col("a").cast("double"), 4).alias("a"), F.col("sd").cast("double").alias("sd"), F.col("lo").cast("double").alias("lo"), F.typeof("a").alias("kind"))
+
+
+@plan("select o_orderkey, try_cast(o_totalprice * 100 as decimal(7, 2))::double as fits, try_cast(o_totalprice as decimal(7, 2)) is null as over from orders")
+def decimal_overflow(t: Tables) -> DataFrame:
+    """A value that a decimal type cannot hold is NULL here; ``numbers.cast`` of it is an error in ANSI mode."""
+    x = F.col("o_totalprice")
+    return t.orders.select("o_orderkey", (x * 100).try_cast("decimal(7,2)").cast("double").alias("fits"), x.try_cast("decimal(7,2)").isNull().alias("over"))
+
+
 @plan("select n_regionkey, '[' || string_agg(n_nationkey::varchar, ',' order by n_nationkey) || ']' as keys, '[' || string_agg('\"' || n_name || '\"', ',' order by n_nationkey) || ']' as names from nation group by 1")
 def aggregate_json_arrayagg(t: Tables) -> DataFrame:
     order = [F.col("n_nationkey")]
     return t.nation.groupBy("n_regionkey").agg(A.json_arrayagg("n_nationkey", order).alias("keys"), A.json_arrayagg("n_name", order).alias("names"))
 
 
-@plan("select o_custkey, min(o_custkey) as any_key, count(*) as n from orders group by 1")
+@plan("select o_custkey, true as among, count(*) as n from orders group by 1")
 def aggregate_select_some(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.any_value("o_custkey").alias("any_key"), F.count(F.lit(1)).alias("n"))
+    """Some value of a column that is not grouped: it is one of the group's."""
+    found = t.orders.groupBy("o_custkey").agg(F.any_value("o_orderkey").alias("some"), F.collect_set("o_orderkey").alias("all"), F.count(F.lit(1)).alias("n"))
+    return found.select("o_custkey", F.array_contains("all", F.col("some")).alias("among"), "n")
 
 
 @plan("""with c as (select p_type, p_size as v, count(*) as n from part group by all), m as (select *, sum(v * n) over (partition by p_type) / sum(n) over (partition by p_type) as mean from c)

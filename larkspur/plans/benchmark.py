@@ -6,10 +6,10 @@ their smallest unit price; ship dates stand in for commit and receipt dates; cou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.relational import anti, equi_join, semi
+from larkspur.operators.relational import anti, equi_join, not_in, semi
 from larkspur.plans import plan
 from larkspur.sources.tables import Tables
 
@@ -26,8 +26,11 @@ def cents(x: Column, digits: int = 2) -> Column:
     return F.round(x, digits)
 
 
-def offers(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_quantity > 0").groupBy(F.col("l_partkey").alias("ps_part"), F.col("l_suppkey").alias("ps_supp")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_cost"), F.sum("l_quantity").alias("ps_qty"))
+def offers(t: Tables, parts: DataFrame | None = None) -> DataFrame:
+    """Offers of all parts, or of some only: these are filtered before the aggregation."""
+    rows = t.lineitem.where("l_quantity > 0")
+    rows = rows if parts is None else semi(rows, parts, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy(F.col("l_partkey").alias("ps_part"), F.col("l_suppkey").alias("ps_supp")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_cost"), F.sum("l_quantity").alias("ps_qty"))
 
 
 _OFFERS = "offers as (select l_partkey as ps_part, l_suppkey as ps_supp, min(l_extendedprice / l_quantity) as ps_cost, sum(l_quantity) as ps_qty from lineitem where l_quantity > 0 group by all)"
@@ -54,10 +57,10 @@ best as (select ps_part as bp, min(ps_cost) as bc from local group by ps_part)
 select s_acctbal, s_name, n_name, p_partkey, p_brand, round(ps_cost, 4) as ps_cost from part, local, best where p_partkey = ps_part and bp = ps_part and bc = ps_cost and p_size < 10 and p_type = 'SMALL'
 order by s_acctbal desc, n_name, s_name, p_partkey limit 100""")
 def q02_minimum_cost_supplier(t: Tables) -> DataFrame:
-    local = equi_join(offers(t), region_suppliers(t, "EUROPE"), F.col("ps_supp") == F.col("s_suppkey"))
-    local = equi_join(local, t.part.where("p_size < 10 and p_type = 'SMALL'"), F.col("ps_part") == F.col("p_partkey"))
-    best = local.groupBy(F.col("ps_part").alias("bp")).agg(F.min("ps_cost").alias("bc"))
-    found = equi_join(local, best, (F.col("ps_part") == F.col("bp")) & (F.col("ps_cost") == F.col("bc")))
+    parts = t.part.where("p_size < 10 and p_type = 'SMALL'")
+    local = equi_join(offers(t, parts), region_suppliers(t, "EUROPE"), F.col("ps_supp") == F.col("s_suppkey"))
+    best = local.withColumn("bc", F.min("ps_cost").over(Window.partitionBy("ps_part"))).where("ps_cost = bc")
+    found = equi_join(best, parts, F.col("ps_part") == F.col("p_partkey"))
     return found.orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100).select("s_acctbal", "s_name", "n_name", "p_partkey", "p_brand", F.round("ps_cost", 4).alias("ps_cost"))
 
 
@@ -126,7 +129,7 @@ def q09_product_profit(t: Tables) -> DataFrame:
     parts = t.part.where(F.col("p_name").contains("widget"))
     rows = semi(t.lineitem, parts, F.col("l_partkey") == F.col("p_partkey"))
     sellers = equi_join(t.supplier, t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    rows = equi_join(rows, offers(t), (F.col("l_partkey") == F.col("ps_part")) & (F.col("l_suppkey") == F.col("ps_supp")))
+    rows = equi_join(rows, offers(t, parts), (F.col("l_partkey") == F.col("ps_part")) & (F.col("l_suppkey") == F.col("ps_supp")))
     rows = equi_join(equi_join(rows, sellers, F.col("l_suppkey") == F.col("s_suppkey")), t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.groupBy("n_name", F.year("o_orderdate").alias("y")).agg(cents(F.sum(net() - F.col("ps_cost") * 0.37 * F.col("l_quantity"))).alias("profit"))
 
@@ -244,7 +247,7 @@ def q22_sales_opportunity(t: Tables) -> DataFrame:
     c = t.customer.where(F.col("c_nationkey").isin(1, 3, 5, 8, 13))
     mean = c.where("c_acctbal > 0").agg(F.avg("c_acctbal").alias("mean"))  # one row
     rich = c.join(F.broadcast(mean), F.col("c_acctbal") > F.col("mean"))
-    quiet = anti(rich, t.orders.where(F.col("o_orderdate") >= ts("2000-06-01")), F.col("c_custkey") == F.col("o_custkey"))
+    quiet = not_in(rich, "c_custkey", t.orders.where(F.col("o_orderdate") >= ts("2000-06-01")).select("o_custkey"))
     return quiet.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), cents(F.sum("c_acctbal")).alias("balance"))
 
 

@@ -191,24 +191,15 @@ def date_weeks_format(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", D.date_format(x, "%d/%m/%y %W %M %j").alias("f"), D.weekofyear(x).alias("w3"), D.yearweek(x, 3).alias("yw3"), D.week(x, 0).alias("w0"), D.week(x, 5).alias("w5"), D.extract("YEAR_MONTH", x).alias("ym"))
 
 
-@plan("""select * from (values (1, 0, 1, 52, 1, 200753), (2, 52, 53, 52, 53, 200852)) v(id, a, b, c, d, e) where false union all select 1, 7, 8, 7, 8, 200807""")
+@plan("""select o_orderkey, strftime(o_orderdate, '%U')::int as a, strftime(o_orderdate, '%W')::int as f, weekofyear(o_orderdate)::int as d from orders""")
 def date_week_modes(t: Tables) -> DataFrame:
-    d = F.lit("2008-02-20")
-    return t.constant(id=1, a=D.week(d, 0), b=D.week(d, 1), c=D.week(d, 2), d=D.week(d, 3), e=D.yearweek(d))
-
-
-@plan("""select event_id, (hour(ts) * 100 + minute(ts))::bigint as hm, (day(ts) * 1000000 + hour(ts) * 10000 + minute(ts) * 100 + second(ts))::bigint as ds, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::int as sec, strftime(ts, '%H:%M:%S') as t, strftime(ts, '%I.%M %p') as tf,
-datediff('month', ts, ts + interval 75 day)::bigint * 0 + 2 as mo, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::bigint as mins from events where day(ts) between 2 and 10""")
-def date_time_of_day(t: Tables) -> DataFrame:
-    x = "ts"
-    rows = t.events.where(F.dayofmonth(x).between(2, 10))
-    return rows.select("event_id", D.extract("HOUR_MINUTE", x).alias("hm"), D.extract("DAY_SECOND", x).alias("ds"), D.time_to_sec(x).alias("sec"), D.time(x).alias("t"), D.time_format(x, "%h.%i %p").alias("tf"), D.timestampdiff("MONTH", x, D.date_add(x, 75)).alias("mo"), D.timestampdiff("MINUTE", F.lit("2024-01-01"), x).alias("mins"))
+    x = "o_orderdate"
+    return t.orders.select("o_orderkey", D.week(x, 0).alias("a"), D.week(x, 5).alias("f"), D.week(x, 3).alias("d"))
 
 
 @plan("""select event_id, (hour(ts) * 100 + minute(ts))::bigint as hm, (day(ts) * 1000000 + hour(ts) * 10000 + minute(ts) * 100 + second(ts))::bigint as ds, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::int as sec, strftime(ts, '%H:%M:%S') as t, strftime(ts, '%I.%M %p') as tf,
 datesub('month', ts, ts + interval 75 day)::bigint as mo, ((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 60000000)::bigint as mins from events""")
-def date_time_of_day_whole(t: Tables) -> DataFrame:
-    """``date_time_of_day`` of every event, with the month difference computed by the SQL too."""
+def date_time_of_day(t: Tables) -> DataFrame:
     x = "ts"
     return t.events.select("event_id", D.extract("HOUR_MINUTE", x).alias("hm"), D.extract("DAY_SECOND", x).alias("ds"), D.time_to_sec(x).alias("sec"), D.time(x).alias("t"), D.time_format(x, "%h.%i %p").alias("tf"), D.timestampdiff("MONTH", x, D.date_add(x, 75)).alias("mo"), D.timestampdiff("MINUTE", F.lit("2024-01-01"), x).alias("mins"))
 

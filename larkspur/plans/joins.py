@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import relational as R
 from larkspur.plans import plan
+from larkspur.sources.files import cross_engine
 from larkspur.sources.tables import Tables
 
 _A = "(values (1), (2), (null), (4), (4)) a(x)"
@@ -110,9 +113,18 @@ def join_wide_decimal_key(t: Tables) -> DataFrame:
 
 @plan("select n_name, k from nation join (select s_nationkey, count(*) as k from supplier group by 1) on n_nationkey = s_nationkey")
 def join_cross_engine(t: Tables) -> DataFrame:
-    """Rows that another engine delivers are a frame like any other; here an Arrow table stands for it."""
-    other = t.spark.createDataFrame(t.supplier.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("k")).toArrow())
-    return R.equi_join(t.nation, other, F.col("n_nationkey") == F.col("s_nationkey")).select("n_name", "k")
+    """Another engine (here Spark's embedded Derby) holds the suppliers and aggregates them; its rows come over JDBC."""
+    url, driver = f"jdbc:derby:memory:larkspur{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    t.supplier.select("s_suppkey", "s_nationkey").coalesce(4).write.format("jdbc").options(url=url, driver=driver, dbtable="suppliers").save()
+    other = cross_engine(t.spark, url, 'select "s_nationkey" as s_nationkey, count(*) as k from suppliers group by "s_nationkey"', driver=driver)
+    return R.equi_join(t.nation, other, F.col("n_nationkey") == F.col("S_NATIONKEY")).select("n_name", F.col("K").cast("bigint").alias("k"))
+
+
+@plan("""select o_custkey, round(sum(o_totalprice), 2) as total from orders group by 1
+having sum(o_totalprice) > (select 20 * max(abs(c_acctbal)) from customer where c_custkey = o_custkey)""")
+def having_correlated_subquery(t: Tables) -> DataFrame:
+    return t.spark.sql("""select o_custkey, round(sum(o_totalprice), 2) as total from {orders} group by o_custkey
+having sum(o_totalprice) > (select 20 * max(abs(c_acctbal)) from {customer} where c_custkey = o_custkey)""", orders=t.orders, customer=t.customer)
 
 
 _U = "(values (1, 'a'), (2, 'b'), (2, 'b'), (null, 'c')) u(i, c)"
@@ -139,14 +151,8 @@ def union_promotes_to_text(t: Tables) -> DataFrame:
     return R.union(a.select("i"), b.select("c"))
 
 
-@plan("select c_acctbal as v from customer where c_custkey < 5 union all select s_suppkey::double from supplier where s_suppkey < 5")
-def union_promotes_numbers(t: Tables) -> DataFrame:
-    return R.union(t.customer.where("c_custkey < 5").select(F.col("c_acctbal").alias("v")), t.supplier.where("s_suppkey < 5").select("s_suppkey"))
-
-
 @plan("select c_acctbal as v from customer union all select s_suppkey::double from supplier")
-def union_promotes_numbers_whole(t: Tables) -> DataFrame:
-    """``union_promotes_numbers`` over every row of both tables."""
+def union_promotes_numbers(t: Tables) -> DataFrame:
     return R.union(t.customer.select(F.col("c_acctbal").alias("v")), t.supplier.select("s_suppkey"))
 
 

@@ -127,19 +127,9 @@ def write_compressed(t: Tables) -> DataFrame:
     return out
 
 
-@plan("select o_orderstatus, count(*) as n from orders where o_orderkey % 2 = 0 group by 1")
-def insert_from_select(t: Tables) -> DataFrame:
-    table = VersionedTable(t.spark, shared_folder(t.spark))
-    table.create(t.orders.limit(0))
-    for r in (0, 2):
-        table.insert(t.orders.where(F.col("o_orderkey") % 4 == r))
-    table.compact()
-    return table.read().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
 @plan("select o_orderstatus, count(*) as n, sum(o_orderkey)::bigint as keys from orders group by 1")
-def insert_from_select_whole(t: Tables) -> DataFrame:
-    """``insert_from_select`` of every order: four inserts by the hash of the key, so a row of any key is in one."""
+def insert_from_select(t: Tables) -> DataFrame:
+    """Four inserts by the hash of the key, so a row of any key is in one."""
     table = VersionedTable(t.spark, shared_folder(t.spark))
     table.create(t.orders.limit(0))
     for r in range(4):
@@ -148,6 +138,16 @@ def insert_from_select_whole(t: Tables) -> DataFrame:
     return table.read().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@plan("select '0.0.1' as place, o_orderstatus, count(*) as n from orders group by all")
+def idb_partition(t: Tables) -> DataFrame:
+    return t.orders.select(tables.idb_partition().alias("place"), "o_orderstatus").groupBy("place", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan("select t as table_name, 1::bigint as n_files, true as filled from (values ('region'), ('orders')) v(t)")
+def information_schema_files(t: Tables) -> DataFrame:
+    return tables.files_of(t.spark, t.folder, "region", "orders").groupBy("table_name").agg(F.count(F.lit(1)).alias("n_files"), (F.sum("bytes") > 0).alias("filled"))
+
+
 @plan("select * from (values ('region', 'r_regionkey', 1, 'int'), ('region', 'r_name', 2, 'string')) v(table_name, column_name, ordinal_position, data_type)")
 def information_schema_columns(t: Tables) -> DataFrame:
     return tables.columns_of(t.spark, t.folder, "region").drop("is_nullable")
@@ -169,21 +169,10 @@ def analyze_most_common(t: Tables) -> DataFrame:
     return tables.most_common(t.part, "p_type", 3)
 
 
-@plan("select n_nationkey, n_name from nation where n_nationkey >= 5")
+@plan("select n_nationkey, n_name from nation")
 def stream_insert(t: Tables) -> DataFrame:
     """Micro-batch insertion: files of a folder, each appended once."""
     source, target, state = (shared_folder(t.spark) for _ in range(3))
-    t.nation.where("n_nationkey >= 5").select("n_nationkey", "n_name").repartition(3).write.parquet(source)
-    table = VersionedTable(t.spark, target)
-    table.create(t.nation.limit(0).select("n_nationkey", "n_name"))
-    insert_stream(stream_parquet(t.spark, source, 1), table, state).awaitTermination()
-    return table.read()
-
-
-@plan("select n_nationkey, n_name from nation")
-def stream_insert_whole(t: Tables) -> DataFrame:
-    """``stream_insert`` of every nation."""
-    source, target, state = (shared_folder(t.spark) for _ in range(3))
     t.nation.select("n_nationkey", "n_name").repartition(3).write.parquet(source)
     table = VersionedTable(t.spark, target)
     table.create(t.nation.limit(0).select("n_nationkey", "n_name"))

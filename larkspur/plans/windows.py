@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import udaf
 from larkspur.operators import windows as W
 from larkspur.plans import plan
 from larkspur.sources.tables import Tables
@@ -117,6 +118,31 @@ def window_regression(t: Tables) -> DataFrame:
     return t.lineitem.select("l_returnflag", F.round(F.regr_slope(y, x).over(w), 4).alias("sl"), F.round(F.try_divide(F.covar_pop(y, x).over(w), F.stddev_pop(y).over(w) * F.stddev_pop(x).over(w)), 6).alias("c"), F.round(F.covar_pop(y, x).over(w), 3).alias("cp"), F.regr_count(y, x).over(w).alias("n")).distinct()
 
 
+class SumOfSquares:
+    """An analytic aggregate with ``drop``."""
+
+    def reset(self):
+        return 0.0
+
+    def next(self, state, value):
+        return state + (value or 0) ** 2
+
+    def drop(self, state, value):
+        return state - (value or 0) ** 2
+
+    def evaluate(self, state):
+        return state
+
+
+@plan("""select c_custkey, sum(c_nationkey * c_nationkey) over (w rows between 3 preceding and current row)::double as last, sum(c_nationkey * c_nationkey) over (w rows between 2 preceding and 2 following)::double as around,
+sum(c_nationkey * c_nationkey) over (w rows between unbounded preceding and current row)::double as upto from customer window w as (partition by c_mktsegment order by c_custkey)""")
+def window_analytic_with_drop(t: Tables) -> DataFrame:
+    rows = t.customer.select("c_custkey", "c_mktsegment", "c_nationkey")
+    for out, frame in (("last", {"preceding": 3}), ("around", {"preceding": 2, "following": 2}), ("upto", {})):
+        rows = udaf.window_with(rows, ["c_mktsegment"], ["c_custkey"], "c_nationkey", SumOfSquares(), out, **frame)
+    return rows.select("c_custkey", "last", "around", "upto")
+
+
 @plan("select n_nationkey, string_agg(n_name, ',' order by n_nationkey) over (partition by n_regionkey order by n_nationkey rows between unbounded preceding and unbounded following) as all_names from nation")
 def window_user_analytic(t: Tables) -> DataFrame:
     """A user aggregate over a window: any composition of built-in aggregates has the window's sliding evaluation."""

@@ -1,8 +1,10 @@
-"""Changes of Parquet tables by copy on write: a version is a list of folders, kept in one small file.
+"""Changes of Parquet tables by copy on write: a version is a list of folders, in one small file of its own.
 
-New folders are written beside the old ones and count once the list is replaced, so a reader never
-sees half a change, a failed one leaves the table as it was, and rollback points back. Inserts only
-add a folder; updates and deletes write the table anew.
+New folders are written beside the old ones and count once a version file names them. That file is
+written under another name and renamed, and no version file is ever replaced: a reader never sees
+half a change, a failed one (at any moment) leaves the table as it was, of two writers one fails,
+and rollback points back. Inserts only add a folder and dropped partitions a note; updates and
+deletes write the table anew.
 """
 
 from __future__ import annotations
@@ -14,10 +16,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larkspur.session import cut
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has made the version that a change was to make; the change is not done."""
+
+
 class VersionedTable:
     """A table whose every change is a new version; optionally split into partitions by a column."""
 
@@ -37,30 +44,47 @@ class VersionedTable:
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        stream = self._fs.create(self._at(name + ".tmp"), True)
+    def _versions(self) -> list[int]:
+        if not self._fs.exists(self._base):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._base)]
+        return sorted(int(n[8:-5]) for n in names if n.startswith("version-") and n.endswith(".json"))
+
+    def _load(self, version: int) -> dict:
+        return json.loads(self._read_text(f"version-{version:09d}.json"))
+
+    def state(self) -> dict:
+        """The newest version: its number, the folders that make it up, the version before it, the schema, disabled and dropped partitions."""
+        versions = self._versions()
+        if not versions:
+            raise ValueError(f"Table {self.path} does not exist")
+        return self._load(versions[-1])
+
+    def _publish(self, state: dict) -> None:
+        """Writes a version file beside the others and renames it into place; a version that is there is never replaced."""
+        name = f"version-{state['version']:09d}.json"
+        draft = self._at(f"draft-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(json.dumps(state).encode()))
         finally:
             stream.close()
-        self._fs.delete(self._at(name), False)
-        self._fs.rename(self._at(name + ".tmp"), self._at(name))
-
-    def state(self) -> dict:
-        """The current version's number, the folders that make it up, those of earlier versions, and the disabled partitions."""
-        return json.loads(self._read_text("CURRENT"))
+        if self._fs.exists(self._at(name)) or not self._fs.rename(draft, self._at(name)):
+            self._fs.delete(draft, False)
+            raise ConcurrentChange(f"Table {self.path} has been changed meanwhile: version {state['version']} exists")
 
     def _commit(self, parts: list[str] | None = None, **changes: object) -> None:
-        old = self.state() if self._fs.exists(self._at("CURRENT")) else {"version": 0, "parts": [], "disabled": [], "history": []}
-        new = old | changes
+        versions = self._versions()
+        old = self._load(versions[-1]) if versions else {"version": 0, "parts": [], "disabled": [], "dropped": {}, "previous": None, "schema": None}
+        new = old | changes | {"version": old["version"] + 1}
         if parts is not None:
-            new |= {"version": old["version"] + 1, "parts": parts, "history": [*old["history"], old["parts"]]}
-        self._write_text("CURRENT", json.dumps(new))
+            new |= {"parts": parts, "previous": old["version"] or None, "dropped": {p: v for p, v in old["dropped"].items() if p in parts}}
+        self._publish(new)
 
     def create(self, df: DataFrame) -> None:
-        if self._fs.exists(self._at("CURRENT")):
+        if self._versions():
             raise ValueError(f"Table {self.path} already exists")
-        self._commit([self._folder(df)])
+        self._replace(df)
 
     def _folder(self, df: DataFrame) -> str:
         """Writes rows to a new folder, which no version has yet."""
@@ -70,21 +94,28 @@ class VersionedTable:
         return name
 
     def _replace(self, df: DataFrame) -> None:
-        self._commit([self._folder(df)])
+        self._commit([self._folder(df)], schema=df.schema.json())
 
     def read(self, hidden: bool = False) -> DataFrame:
         """The current rows; those of disabled partitions only with ``hidden``."""
         state = self.state()
-        df = reduce(lambda a, b: a.unionByName(b), [self.spark.read.parquet(f"{self.path}/{p}") for p in state["parts"]])
-        if state["disabled"] and not hidden:
-            df = df.where(~F.col(self.partition_by).cast("string").isin(state["disabled"]) | F.col(self.partition_by).isNull())
-        return df
+        schema = StructType.fromJson(json.loads(state["schema"]))
+        reader = self.spark.read.schema(schema)
+        if self.partition_by is None:
+            df = reader.parquet(*[f"{self.path}/{p}" for p in state["parts"]])  # one scan, however many inserts there were
+        else:
+            df = reduce(lambda a, b: a.unionByName(b), [self._without(reader.parquet(f"{self.path}/{p}"), state["dropped"].get(p, [])) for p in state["parts"]]).select(*schema.names)
+        return df if hidden else self._without(df, state["disabled"])
+
+    def _without(self, df: DataFrame, values: list[str]) -> DataFrame:
+        key = F.col(self.partition_by) if self.partition_by else None
+        return df.where(~key.cast("string").isin(values) | key.isNull()) if values else df
 
     def insert(self, rows: DataFrame, **changes: object) -> None:
         """Adds a folder; nothing that is there is read or written again."""
-        old = self.read(hidden=True)
-        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields])
-        self._commit([*self.state()["parts"], self._folder(typed)], **changes)
+        state = self.state()
+        typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromJson(json.loads(state["schema"])).fields])
+        self._commit([*state["parts"], self._folder(typed)], **changes)
 
     def compact(self) -> None:
         """The same rows in one folder, after many inserts."""
@@ -124,9 +155,11 @@ class VersionedTable:
     def rollback(self) -> None:
         """Back to the version before the last change."""
         state = self.state()
-        if not state["history"] or not state["history"][-1]:
+        if not state["previous"]:
             raise ValueError("nothing to roll back")
-        self._write_text("CURRENT", json.dumps(state | {"version": state["version"] + 1, "parts": state["history"][-1], "history": state["history"][:-1]}))
+        before = self._load(state["previous"])
+        kept = {k: state[k] for k in ("disabled", "batch") if k in state}
+        self._publish(before | kept | {"version": state["version"] + 1})
 
     def partitions(self) -> DataFrame:
         """Each partition with its rows, value range of the partition column and whether it is enabled."""
@@ -141,9 +174,10 @@ class VersionedTable:
         self._commit(disabled=sorted(set(self.state()["disabled"]) - set(map(str, values))))
 
     def drop_partition(self, *values: object) -> None:
-        names = [str(v) for v in values]
-        self._replace(self.read(hidden=True).where(~F.coalesce(F.col(self.partition_by).cast("string").isin(names), F.lit(False))))
-        self.enable(*values)
+        """The partitions' folders are left out from now on; nothing is read or written."""
+        state, names = self.state(), {str(v) for v in values}
+        dropped = {p: sorted({*state["dropped"].get(p, []), *names}) for p in state["parts"]}
+        self._publish(state | {"version": state["version"] + 1, "previous": state["version"], "dropped": dropped, "disabled": sorted(set(state["disabled"]) - names)})
 
     def redistribute(self, files: int) -> None:
         """The same rows in so many evenly filled files."""

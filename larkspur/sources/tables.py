@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -44,6 +44,25 @@ def with_pseudo_columns(df: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of an extent.
+EXTENT_ROWS = 1 << 23
+
+
+def idb_partition() -> Column:
+    """IDBPARTITION: ``partition.segment.dbroot`` of a row of a scanned table: its extent in the file, the file's number, and 1, for there is one storage."""
+    segment = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_name", r"part-0*(\d+)", 1), F.lit("")), F.lit("0"))
+    return F.concat_ws(".", F.floor(F.col("_metadata.row_index") / EXTENT_ROWS).cast("string"), segment, F.lit("1"))
+
+
+def files_of(spark: SparkSession, folder: str, *names: str) -> DataFrame:
+    """The information schema's files: table_name, file, bytes; a listing, no file is opened."""
+    out = None
+    for n in names or NAMES:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/{n}.parquet").select(F.lit(n).alias("table_name"), F.col("path").alias("file"), F.col("length").alias("bytes"))
+        out = found if out is None else out.union(found)
+    return out
+
+
 def extents(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One row for each row group and column: rows, smallest and largest value as text, bytes. Footers are read in tasks."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/{table}.parquet").select("path")

@@ -9,7 +9,7 @@ from larkspur.operators import relational as R
 from larkspur.operators import windows as W
 from larkspur.session import shared_folder
 from larkspur.sources import files
-from larkspur.sources.changes import VersionedTable
+from larkspur.sources.changes import ConcurrentChange, VersionedTable
 
 
 def test_union_of_different_widths_is_refused(spark):
@@ -78,6 +78,64 @@ def test_versioned_table_keeps_readers_and_refuses(spark):
         table.rollback()
 
 
+def test_a_crash_between_write_and_rename_leaves_the_table(spark, monkeypatch):
+    table = VersionedTable(spark, shared_folder(spark))
+    table.create(spark.range(5))
+    with monkeypatch.context() as m:
+        m.setattr(table, "_publish", lambda state: (_ for _ in ()).throw(OSError("the driver is gone")))
+        with pytest.raises(OSError):
+            table.insert(spark.range(5, 7))
+    assert VersionedTable(spark, table.path).read().count() == 5
+    state = table.state()
+    table.insert(spark.range(5, 7))
+    with pytest.raises(ConcurrentChange):
+        table._publish(state | {"version": state["version"] + 1})
+    assert table.read().count() == 7 and table.state()["version"] == 2
+
+
+def test_many_inserts_are_one_scan(spark):
+    table = VersionedTable(spark, shared_folder(spark))
+    table.create(spark.range(0))
+    for k in range(6):
+        table.insert(spark.range(k, k + 1))
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan and sorted(r[0] for r in table.read().collect()) == list(range(6))
+
+
+def test_dropped_partitions_come_back_with_a_rollback(spark):
+    table = VersionedTable(spark, shared_folder(spark), partition_by="g")
+    table.create(spark.range(10).selectExpr("id", "if(id < 9, id % 3, null) as g"))
+    table.insert(spark.range(20, 23).selectExpr("id", "id % 3 as g"))
+    table.drop_partition(1)
+    assert sorted(r["id"] for r in table.read().collect()) == [0, 2, 3, 5, 6, 8, 9, 20, 21] and table.read().columns == ["id", "g"]
+    table.insert(spark.range(40, 41).selectExpr("id", "1L as g"))
+    assert table.read().where("g = 1").count() == 1
+    table.rollback()
+    table.rollback()
+    assert table.read().count() == 13
+
+
+def test_group_concat_orders_and_empty_texts(spark):
+    df = spark.createDataFrame([(1, "", 1), (2, "b", 1), (2, "a", 2), (2, "b", None), (3, None, 1)], "g int, v string, k int")
+    found = df.groupBy("g").agg(A.group_concat("v", order_by=[A.Descending("k")]).alias("c"), A.group_concat("v", order_by=[F.col("k")], distinct=True).alias("d")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, "", ""), (2, "a,b,b", "b,a"), (3, None, None)]
+
+
+def test_sum_distinct_keeps_integers_and_decimals(spark):
+    df = spark.createDataFrame([(9007199254740993, 1), (2, 1), (2, 1)], "v long, g int")
+    w = Window.partitionBy("g")
+    assert {r[0] for r in df.select(W.sum_distinct("v", w)).collect()} == {9007199254740995}
+    assert {str(r[0]) for r in df.select(W.sum_distinct(F.col("v").cast("decimal(20,2)"), w, "decimal(38,2)")).collect()} == {"9007199254740995.00"}
+
+
+def test_keyless_aggregates_scan_in_parallel(spark):
+    from larkspur.operators import udaf
+
+    plan = udaf.aggregate_with(spark.range(0, 100, 1, 8), [], ["id"], udaf.AverageOfMode() if hasattr(udaf, "AverageOfMode") else type("S", (), {"reset": lambda self: 0, "next": lambda self, s, v: s + v, "merge": lambda self, a, b: a + b, "evaluate": float})(), "s")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" not in text
+
+
 def test_binary_load(spark, tmp_path):
     import struct
 

@@ -1,4 +1,4 @@
-"""Queries that read every row of their tables, where the query of the shorter name keeps some of them only."""
+"""Queries whose results show that every row of their tables was read."""
 
 from larkspur import plans
 from tests.compare import same
@@ -14,13 +14,13 @@ def whole(spark, duck, name, n):
 
 
 def test_union_promotes_numbers_over_whole_tables(spark, duck):
-    whole(spark, duck, "union_promotes_numbers_whole", "select (select count(*) from customer) + (select count(*) from supplier)")
+    whole(spark, duck, "union_promotes_numbers", "select (select count(*) from customer) + (select count(*) from supplier)")
 
 
 def test_every_order_and_every_nation_is_inserted(spark, duck):
-    whole(spark, duck, "insert_from_select_whole", "select count(distinct o_orderstatus) from orders")
-    whole(spark, duck, "stream_insert_whole", "select count(*) from nation")
+    whole(spark, duck, "insert_from_select", "select count(distinct o_orderstatus) from orders")
+    whole(spark, duck, "stream_insert", "select count(*) from nation")
 
 
 def test_time_of_day_of_every_event(spark, duck):
-    whole(spark, duck, "date_time_of_day_whole", "select count(*) from events")
+    whole(spark, duck, "date_time_of_day", "select count(*) from events")
