@@ -9,8 +9,9 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from larkspur.llm import byte_bpe, quality
+from larkspur.llm import byte_bpe, mixture, quality
 from larkspur.llm.queries import PATTERN, RANKS
+from tests.llm.test_tables import brute_classes, corpus
 
 ROOT = P.__file__.rsplit("/", 1)[0]
 
@@ -64,6 +65,33 @@ def test_quality_stage_keeps_clean_documents(spark):
     assert judged.where("kept").count() >= 0.995 * judged.count()
 
 
+def test_near_dedup_stage_against_brute_force(spark):
+    rng = random.Random(12)
+    docs = corpus(rng, 25, 5, 100) + [(-1, None), (-2, ""), (7000, "same words here"), (7001, "same  words\nhere"), (7001, "same words here"), (7002, "x " * 100_000)]
+    docs += [(7003 + i, t) for i, (_, t) in enumerate(docs[:10])]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    least = brute_classes(docs)
+    kept = Counter((r["doc_id"], r["text"]) for r in P.near_dedup(spark, df, "").collect())
+    assert kept == Counter((i, t) for i, t in docs if least[i] == i)
+
+
+def test_mix_stage_against_its_contract(spark):
+    rng = random.Random(13)
+    docs = [(i, "w " * rng.choice([1, 5, 60, 300]), "en", rng.choice(["a", "a", "a", "b", "c", None]), i) for i in range(1500)] + [(9000, "word " * 200_000, "en", "d", 1), (9001, None, "en", "a", 1), (9002, "", "en", "e", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    size = {i: len((t or "").split()) for i, t, *_ in docs}
+    sources = sorted({d[3] for d in docs if d[3]}) + [None]
+    total = {s: sum(size[d[0]] for d in docs if d[3] == s) for s in sources}
+    goal = dict(zip(sources, mixture.targets([total[s] for s in sources], [(5.0, 2.0, 1.0)[k % 3] for k in range(len(sources))]), strict=True))
+    rows = P.mix_sources(spark, df, "").collect()
+    assert {tuple(r) for r in rows} <= set(docs) and max(Counter(r["doc_id"] for r in rows).values()) <= 3
+    for s in sources:
+        taken = sum(size[r["doc_id"]] for r in rows if r["source"] == s)
+        assert abs(taken - goal[s]) <= max(size[d[0]] for d in docs if d[3] == s)
+    assert sum(goal.values()) <= sum(total.values()) + 1e-6
+    assert [tuple(r) for r in P.mix_sources(spark, df.repartition(5), "").collect()] == [tuple(r) for r in rows]
+
+
 def test_the_rest_imports_without_this_subpackage(tmp_path):
     subprocess.run(["cp", "-r", f"{ROOT}/larkspur", f"{ROOT}/__spark_entry__.py", str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "larkspur/llm")], check=True)
