@@ -54,14 +54,14 @@ class Codec:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.digits = [str(i).encode() for i in range(max(ranks.values()) + 1)]
 
-    def parts(self, text: str | None) -> Iterator[np.ndarray]:
+    def parts(self, text: str | None) -> Iterator[list[int]]:
         """The ids of the text's parts, in order."""
         if text:
             for part in safe_parts(text):
-                yield self.encoding.encode_to_numpy(part, disallowed_special=()).astype(np.int32)
+                yield self.encoding.encode_ordinary(part)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for part in self.parts(text) for i in part.tolist()]
+        return [i for part in self.parts(text) for i in part]
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
@@ -106,8 +106,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def row(c: Codec, text: str | None) -> tuple[dict, int]:
         n, ids, back = 0, [], []
         of_ids, of_bytes = hashlib.sha256(), hashlib.sha256()
-        for part in c.parts(text):
-            listed = part.tolist()
+        for listed in c.parts(text):
             if "ids_sha256" in outputs:
                 of_ids.update(b" " * (n > 0) + b" ".join(map(c.digits.__getitem__, listed)))
             n += len(listed)
@@ -117,7 +116,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 if "decoded" in outputs:
                     back.append(data)
             if "ids" in outputs:
-                ids.append(part)
+                ids.append(np.array(listed, np.int32))
         whole, data = np.concatenate(ids) if ids else np.zeros(0, np.int32), b"".join(back)
         return {"ids": whole, "decoded": data, "n_tokens": n, "ids_sha256": of_ids.hexdigest(), "decoded_sha256": of_bytes.hexdigest()}, whole.nbytes + len(data) + 256
 
