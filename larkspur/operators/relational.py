@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side is broadcast only when its measured files or statistics are at most this large.
-BROADCAST_BYTES = 64 << 20
+#: A side is broadcast only when its estimate (compressed files, some times that in memory) is at most this large; above it adaptive execution decides by the size at run time.
+BROADCAST_BYTES = 10 << 20
 
 
 def size_in_bytes(df: DataFrame) -> int:

@@ -32,6 +32,8 @@ def lead(x: Col, window: WindowSpec, offset: int = 1, default: object = None, ig
     frame = window.rowsBetween(1, Window.unboundedFollowing) if offset > 0 else window.rowsBetween(Window.unboundedPreceding, -1)
     if offset > 0:
         found = F.nth_value(col(x), offset, True).over(frame)
+    elif offset == -1:
+        found = F.last(col(x), True).over(frame)
     else:
         values = F.collect_list(col(x)).over(frame)  # skips NULLs, in order
         found = F.get(values, F.size(values) + offset)
