@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut, discard, file_system, quoted, shared_folder
-from larkspur.llm.urls import host_of, path_of
+from larkspur.llm.urls import host_of
 
 MIN_REVISIT, BLOCK_CAPTURES, ROOT_ROWS, FLUSH_BYTES, DATE = 1000, 1000, 4096, 1 << 22, "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
