@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import relational as R
 from larkspur.plans import plan
-from larkspur.sources.files import cross_engine
+from larkspur.sources.files import DERBY, cross_engine, derby_archive
 from larkspur.sources.tables import Tables
 
 _A = "(values (1), (2), (null), (4), (4)) a(x)"
@@ -114,9 +112,8 @@ def join_wide_decimal_key(t: Tables) -> DataFrame:
 @plan("select n_name, k from nation join (select s_nationkey, count(*) as k from supplier group by 1) on n_nationkey = s_nationkey")
 def join_cross_engine(t: Tables) -> DataFrame:
     """Another engine (here Spark's embedded Derby) holds the suppliers and aggregates them; its rows come over JDBC."""
-    url, driver = f"jdbc:derby:memory:larkspur{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    t.supplier.select("s_suppkey", "s_nationkey").coalesce(4).write.format("jdbc").options(url=url, driver=driver, dbtable="suppliers").save()
-    other = cross_engine(t.spark, url, 'select "s_nationkey" as s_nationkey, count(*) as k from suppliers group by "s_nationkey"', driver=driver)
+    url = derby_archive(t.supplier.select("s_suppkey", "s_nationkey"), "suppliers")
+    other = cross_engine(t.spark, url, 'select "s_nationkey" as s_nationkey, count(*) as k from suppliers group by "s_nationkey"', driver=DERBY)
     return R.equi_join(t.nation, other, F.col("n_nationkey") == F.col("S_NATIONKEY")).select("n_name", F.col("K").cast("bigint").alias("k"))
 
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import re
+import shutil
 import struct
+import tempfile
+import zipfile
+from urllib.parse import urlsplit
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.session import discard_folder, shared_folder
+
 
 class LoadError(ValueError):
     """More bad rows than allowed."""
@@ -103,3 +112,48 @@ def ddl_of_parquet(spark: SparkSession, path: str, table: str) -> str:
 def cross_engine(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """Rows of a query on another engine over JDBC; filters and columns are pushed to it."""
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
+DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
+_DERBY_KINDS = {T.ByteType: "SMALLINT", T.ShortType: "SMALLINT", T.IntegerType: "INTEGER", T.LongType: "BIGINT", T.FloatType: "DOUBLE", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR(32672)"}
+
+
+def derby_archive(df: DataFrame, table: str) -> str:
+    """The JDBC URL of a new Derby database that holds ``df`` as ``table``; column names keep their case.
+
+    An embedded database belongs to the process that opened it, so what one executor writes no other sees.
+    Here tasks write the rows as text, the driver's Derby loads them on disk and closes the database, and
+    its archive in the shared folder can be read by any number of processes.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if urlsplit(folder).scheme != "file":
+        raise LoadError(f"Derby reads mounted folders only, not {folder}")
+    at, jvm, local = urlsplit(folder).path, spark.sparkContext._jvm, tempfile.mkdtemp(prefix="larkspur-")
+    df.write.csv(f"{folder}/rows", escape='"')  # NULL is nothing, an empty text a pair of quotes, as Derby has it
+    try:
+        jvm.java.lang.Class.forName(DERBY)
+        connection = jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{local}/data;create=true")
+        try:
+            run = connection.createStatement()
+            columns = ['"%s" %s' % (f.name, _DERBY_KINDS[type(f.dataType)]) for f in df.schema.fields]
+            run.execute(f"create table {table} ({', '.join(columns)})")
+            for path in sorted(glob.glob(f"{glob.escape(at)}/rows/part-*.csv")):
+                quoted = path.replace("'", "''")
+                run.execute(f"call syscs_util.syscs_import_table(null, '{table.upper()}', '{quoted}', ',', '\"', 'UTF-8', 0)")
+        finally:
+            connection.close()
+            try:
+                jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{local}/data;shutdown=true")
+            except Py4JJavaError as e:
+                if e.java_exception.getSQLState() != "08006":  # this says that it is closed
+                    raise
+        with zipfile.ZipFile(f"{at}/data.jar", "w", zipfile.ZIP_STORED) as z:
+            for place, _, names in os.walk(f"{local}/data"):
+                for name in names:
+                    path = os.path.join(place, name)
+                    z.write(path, os.path.relpath(path, local))
+    finally:
+        shutil.rmtree(local, ignore_errors=True)
+        discard_folder(spark, f"{folder}/rows")
+    return f"jdbc:derby:jar:({at}/data.jar)data"

@@ -154,3 +154,12 @@ def test_load_error_limit(spark, tmp_path):
 def test_nested_parquet_is_refused(spark):
     with pytest.raises(files.LoadError):
         files.load_parquet(spark, "/root/testdata/sf0.001/embeddings.parquet")
+
+
+def test_another_engine_keeps_nulls_quotes_and_empty_texts(spark):
+    rows = [(1, "a"), (2, None), (3, ""), (None, 'say "x", y'), (5, "é\nz")]
+    df = spark.createDataFrame(rows, "k bigint, s string").repartition(2)
+    url = files.derby_archive(df, "things")
+    for _ in range(2):  # the archive stays
+        found = files.cross_engine(spark, url, "select * from things", driver=files.DERBY)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(rows, key=repr)
