@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Sequence
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import Col, col
@@ -83,7 +86,7 @@ def rows_frame(function: str, x: Col, before: Column, after: Column, window: Win
 
 
 def percentile_cont(p: float, x: Col, window: WindowSpec) -> Column:
-    """Linear interpolation over the partition; NULLs do not count."""
+    """Linear interpolation over the partition; NULLs do not count. One task gathers the partition; ``percentiles`` does not."""
     if not 0 <= p <= 1:
         raise ValueError("a percentile lies between 0 and 1")
     return F.percentile(col(x), p).over(window)
@@ -93,7 +96,41 @@ def median(x: Col, window: WindowSpec) -> Column:
     return percentile_cont(0.5, x, window)
 
 
-def percentile_disc(p: float, x: Col, window: WindowSpec) -> Column:
-    """The smallest value whose cumulative distribution reaches p."""
-    values = F.array_sort(F.collect_list(col(x)).over(window))
-    return F.get(values, F.greatest(F.ceil(F.lit(p) * F.size(values)).cast("int") - 1, F.lit(0)))
+def per_partition(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
+    """SELECT DISTINCT of ``keys`` and aggregates over whole partitions by them: one row a partition.
+
+    A window would gather each partition's rows in one task; groups are summed where the rows are.
+    """
+    return df.groupBy(*keys).agg(*[a.alias(name) for name, a in aggregates.items()])
+
+
+def with_partition(df: DataFrame, keys: Sequence[str], found: DataFrame) -> DataFrame:
+    """The rows of ``df``, each with its partition's row of ``found`` (``keys``, then others); NULL keys are a partition."""
+    renamed = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    return df.join(renamed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], x: str, **wanted: tuple[str, float]) -> DataFrame:
+    """Percentiles of ``x`` over whole partitions, one row a partition: name=("cont" or "disc", p). NULLs do not count; a partition of NULLs has none.
+
+    ``cont`` interpolates, ``disc`` is the smallest value whose cumulative distribution reaches p. Equal values
+    are counted first, so only one row for each different value of a partition is sorted, and that with spilling.
+    """
+    if not all(0 <= p <= 1 for _, p in wanted.values()):
+        raise ValueError("a percentile lies between 0 and 1")
+    counted = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(x)
+    summed = counted.select(*keys, x, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"), F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    first = lambda test: F.min(F.when(test, F.col(x)))
+    out, near = [], []
+    for name, (kind, p) in wanted.items():
+        if kind == "disc":
+            rank = F.ceil(F.lit(Decimal(str(p))) * F.col("_all"))  # of decimals: 0.7 * 10 is 7, not a little more
+            near.append(first(F.col("_upto") >= F.greatest(rank, F.lit(1))).alias(name))
+            out.append(F.col(name))
+        else:
+            at = F.lit(float(p)) * (F.col("_all") - 1)
+            near += [first(F.col("_upto") > F.floor(at)).cast("double").alias(f"_{name}_low"), first(F.col("_upto") > F.ceil(at)).cast("double").alias(f"_{name}_high"), F.first(at).alias(f"_{name}_at")]
+            low, high, at = (F.col(f"_{name}_{k}") for k in ("low", "high", "at"))
+            out.append(F.when((F.floor(at) == F.ceil(at)) | (low == high), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name))
+    return summed.groupBy(*keys).agg(*near).select(*keys, *out)

@@ -101,8 +101,8 @@ def window_statistics(t: Tables) -> DataFrame:
 
 @plan("select p_partkey, round(quantile_cont(p_retailprice, 0.3) over w, 4) as c, quantile_disc(p_retailprice, 0.3) over w as d, median(p_retailprice) over w as m from part window w as (partition by p_type)")
 def window_percentiles(t: Tables) -> DataFrame:
-    w = Window.partitionBy("p_type")
-    return t.part.select("p_partkey", F.round(W.percentile_cont(0.3, "p_retailprice", w), 4).alias("c"), W.percentile_disc(0.3, "p_retailprice", w).alias("d"), W.median("p_retailprice", w).alias("m"))
+    found = W.percentiles(t.part, ["p_type"], "p_retailprice", c=("cont", 0.3), d=("disc", 0.3), m=("cont", 0.5))
+    return W.with_partition(t.part, ["p_type"], found).select("p_partkey", F.round("c", 4).alias("c"), "d", "m")
 
 
 @plan("select o_orderkey, bit_and(o_orderkey) over w as a, bit_or(o_orderkey) over w as o, bit_xor(o_orderkey) over w as x from orders window w as (partition by o_custkey)")

@@ -10,6 +10,7 @@ from larkspur.operators import windows as W
 from larkspur.session import shared_folder
 from larkspur.sources import files
 from larkspur.sources.changes import ConcurrentChange, VersionedTable
+from tests.compare import same
 
 
 def test_union_of_different_widths_is_refused(spark):
@@ -163,3 +164,23 @@ def test_another_engine_keeps_nulls_quotes_and_empty_texts(spark):
     for _ in range(2):  # the archive stays
         found = files.cross_engine(spark, url, "select * from things", driver=files.DERBY)
         assert sorted(map(tuple, found.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_percentiles_over_whole_partitions(spark, duck):
+    rows = [(g, float((i * 37) % 101) / (1 + (g or 0)) if i % 7 else None) for g in (0, 1, None) for i in range(10 + 13 * (g or 0))] + [(2, None), (2, None), (3, 4.5)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    found = W.with_partition(df, ["g"], W.percentiles(df, ["g"], "x", c=("cont", 0.3), d=("disc", 0.7), a=("disc", 0), z=("cont", 1), m=("cont", 0.5)))
+    duck.execute("create or replace table given (g int, x double)")
+    duck.executemany("insert into given values (?, ?)", rows)
+    same(found, duck, "select g, x, quantile_cont(x, 0.3) over w as c, quantile_disc(x, 0.7) over w as d, quantile_disc(x, 0) over w as a, quantile_cont(x, 1) over w as z, median(x) over w as m from given window w as (partition by g)")
+    with pytest.raises(ValueError):
+        W.percentiles(df, ["g"], "x", c=("cont", 2))
+
+
+def test_no_row_carries_its_partition(spark):
+    """A list of the partition's values in every row takes the square of a partition's rows."""
+    from larkspur import plans
+
+    plans.load()
+    df = plans.runnable(plans.PLANS["window_percentiles"])(spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
