@@ -140,7 +140,8 @@ def insert_from_select(t: Tables) -> DataFrame:
 
 @plan("select '0.0.1' as place, o_orderstatus, count(*) as n from orders group by all")
 def idb_partition(t: Tables) -> DataFrame:
-    return t.orders.select(tables.idb_partition().alias("place"), "o_orderstatus").groupBy("place", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    orders = t.orders
+    return orders.select(tables.idb_partition(orders).alias("place"), "o_orderstatus").groupBy("place", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("select t as table_name, 1::bigint as n_files, true as filled from (values ('region'), ('orders')) v(t)")

@@ -8,7 +8,7 @@ from larkspur.operators import aggregates as A
 from larkspur.operators import relational as R
 from larkspur.operators import windows as W
 from larkspur.session import shared_folder
-from larkspur.sources import files
+from larkspur.sources import files, tables
 from larkspur.sources.changes import ConcurrentChange, VersionedTable
 from tests.compare import same
 
@@ -184,3 +184,19 @@ def test_no_row_carries_its_partition(spark):
     plans.load()
     df = plans.runnable(plans.PLANS["window_percentiles"])(spark, "/root/testdata/sf0.001")
     assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_place_of_rows_beyond_an_extent_and_in_several_files(spark, tmp_path):
+    """Beyond 2 ** 23 rows of one file, and in its second file, a table without partition directories is still one slice."""
+    spark.range((1 << 23) + 10, numPartitions=1).write.parquet(f"{tmp_path}/long")
+    spark.range(10, numPartitions=3).write.parquet(f"{tmp_path}/files")
+    for name in ("long", "files"):
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        assert [tuple(r) for r in df.select(tables.idb_partition(df).alias("p")).distinct().collect()] == [("0.0.1",)]
+
+
+def test_place_is_the_partition_directory(spark, tmp_path):
+    spark.createDataFrame([(1, "b c", 1), (2, "b c", 2), (3, "a%", 1), (4, None, 1)], "i int, k string, m int").repartition(2).write.partitionBy("k", "m").parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    found = {r["i"]: r["p"] for r in df.select("i", tables.idb_partition(df).alias("p")).collect()}
+    assert len(set(found.values())) == 4 and set(found.values()) == {f"{i}.0.1" for i in range(4)} and found[3] < found[1] < found[2]
