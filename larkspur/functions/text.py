@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
@@ -297,20 +299,99 @@ class _Shuffle:
         return bytes(out)
 
 
+class _Batches:
+    """``_Shuffle`` over whole Arrow arrays: the key is set up once, and as its draws don't depend on the data, every text starts from the same ones."""
+
+    def __init__(self, key: bytes):
+        self.shuffle = _Shuffle(key)
+        self.back, self.forth = (np.array(x, np.uint8) for x in (self.shuffle.back, self.shuffle.forth))
+        self.draws = np.zeros(0, np.uint8)
+
+    def drawn(self, n: int) -> np.ndarray:
+        """All draws before and at each of the first ``n`` positions, combined."""
+        if (have := len(self.draws)) < n:
+            more = np.array([self.shuffle.draw() for _ in range(max(n, 2 * have) - have)], np.uint8)
+            if have:
+                more[0] ^= self.draws[-1]
+            self.draws = np.concatenate([self.draws, np.bitwise_xor.accumulate(more)])
+        return self.draws[:n]
+
+    @staticmethod
+    def parts(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all items, and where each begins."""
+        items = items.cast(pa.large_binary())
+        _, offsets, data = items.buffers()
+        at = np.frombuffer(offsets, np.int64, len(items) + 1, items.offset * 8)
+        return np.frombuffer(data, np.uint8, at[-1])[at[0] :] if at[-1] > at[0] else np.zeros(0, np.uint8), at - at[0]
+
+    @staticmethod
+    def whole(like: pa.Array, data: np.ndarray, at: np.ndarray) -> pa.Array:
+        known = pa.array(like.is_valid().to_numpy(zero_copy_only=False)).buffers()[1] if like.null_count else None
+        return pa.Array.from_buffers(pa.large_binary(), len(like), [known, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
+
+    def encode(self, items: pa.Array) -> pa.Array:
+        data, at = self.parts(items)
+        sizes = np.diff(at)
+        begins = np.repeat(at[:-1], sizes)
+        before = np.concatenate([np.zeros(1, np.uint8), np.bitwise_xor.accumulate(data)])[:-1] if len(data) else data
+        return self.whole(items, self.forth[data] ^ self.drawn(sizes.max(initial=0))[np.arange(len(data)) - begins] ^ before ^ before[begins], at)
+
+    def decode(self, items: pa.Array) -> pa.Array:
+        """Position by position over all items that are so long; the last few, of very long ones, byte by byte."""
+        data, at = self.parts(items)
+        sizes = np.diff(at)
+        order = np.argsort(-sizes, kind="stable")
+        begins, sizes = at[:-1][order], sizes[order]
+        longest, out, mask = int(sizes.max(initial=0)), np.zeros(len(data), np.uint8), np.zeros(len(sizes), np.uint8)
+        drawn = self.drawn(longest)
+        left = len(sizes) - np.cumsum(np.bincount(sizes, minlength=longest + 1))  # items longer than each position
+        for i in range(longest):
+            n = int(left[i])
+            if n < 16:
+                self._rest(data, out, begins[:n], sizes[:n], mask, drawn, i)
+                break
+            here = begins[:n] + i
+            plain = self.back[data[here] ^ drawn[i] ^ mask[:n]]
+            out[here] = plain
+            mask[:n] ^= plain
+        return self.whole(items, out, at)
+
+    def _rest(self, data: np.ndarray, out: np.ndarray, begins: np.ndarray, sizes: np.ndarray, masks: np.ndarray, drawn: np.ndarray, i: int) -> None:
+        back = self.back.tobytes()
+        for begin, size, mask in zip(begins.tolist(), sizes.tolist(), masks.tolist(), strict=False):
+            plain = bytearray()
+            for x in (data[begin + i : begin + size] ^ drawn[i:size]).tobytes():
+                plain.append(p := back[x ^ mask])
+                mask ^= p
+            out[begin + i : begin + size] = np.frombuffer(plain, np.uint8)
+
+
+@lru_cache(8)
+def _batches(key: bytes) -> _Batches:
+    return _Batches(key)
+
+
 def encode(s: Col, password: str) -> Column:
-    """Legacy encryption to bytes; an Arrow-batched Python function, since no built-in has it."""
+    """Legacy encryption to bytes; a Python function over Arrow arrays, since no built-in has it."""
+    key = password.encode()
 
-    @F.pandas_udf(BinaryType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _Shuffle(password.encode()).encode(t.encode()))
+    @F.arrow_udf(BinaryType())
+    def run(texts: pa.Array) -> pa.Array:
+        return _batches(key).encode(texts)
 
     return run(_text(s))
 
 
 def decode(data: Col, password: str) -> Column:
-    @F.pandas_udf(StringType())
-    def run(items: pd.Series) -> pd.Series:
-        return items.map(lambda b: None if b is None else _Shuffle(password.encode()).decode(bytes(b)).decode("utf-8", "replace"))
+    key = password.encode()
+
+    @F.arrow_udf(StringType())
+    def run(items: pa.Array) -> pa.Array:
+        plain = _batches(key).decode(items)
+        try:
+            return plain.cast(pa.string())
+        except pa.ArrowInvalid:  # another password's, or damaged
+            return pa.array([None if b is None else b.decode("utf-8", "replace") for b in plain.to_pylist()], pa.string())
 
     return run(col(data).cast("binary"))
 

@@ -51,3 +51,24 @@ def test_legacy_crypt_round_trip():
     data = bytes(range(256))
     assert S._Shuffle(b"key").decode(s.encode(data)) == data
     assert S._Shuffle(b"other").decode(S._Shuffle(b"key").encode(data)) != data
+
+
+def test_legacy_crypt_of_batches(spark):
+    """Whole arrays as text by text, with nulls, empty, long and sliced ones; the key is set up once, not for each text."""
+    texts = ["", None, "a", "é" * 9, "x y " * 5000, *[f"text {i}" * (i % 5) for i in range(60)], None]
+    one = lambda t, of: None if t is None else getattr(S._Shuffle(b"pass word"), of)(t)
+    made = S._Batches(b"pass word")
+    made.shuffle.__class__ = type("Counted", (S._Shuffle,), {"draw": lambda self: (drawn.append(1), S._Shuffle.draw(self))[1]})
+    drawn = []
+    items = S.pa.array([None if t is None else t.encode() for t in texts])
+    for part in (items[:0], items[5:30], items, items[1:2]):
+        coded = made.encode(part)
+        assert coded.to_pylist() == [one(t, "encode") for t in part.to_pylist()]
+        assert made.decode(coded).to_pylist() == part.to_pylist()
+    assert len(drawn) <= 2 * 20_000
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", "t", S.encode("t", "pass word").alias("c"), S.decode(S.encode("t", "pass word"), "pass word").alias("p"), S.decode(S.encode("t", "pass word"), "other").alias("o")).collect()
+    for r in got:
+        c = one(None if r["t"] is None else r["t"].encode(), "encode")
+        assert (None if r["c"] is None else bytes(r["c"])) == c and r["p"] == r["t"]
+        assert r["o"] == (None if c is None else S._Shuffle(b"other").decode(c).decode("utf-8", "replace"))
