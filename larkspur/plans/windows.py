@@ -95,8 +95,9 @@ def window_frame_by_expression(t: Tables) -> DataFrame:
 
 @plan("select s_suppkey, round(stddev_pop(s_acctbal) over w, 4) as sp, round(stddev_samp(s_acctbal) over w, 4) as ss, round(var_pop(s_acctbal) over w, 3) as vp, round(var_samp(s_acctbal) over w, 3) as vs from supplier window w as (partition by s_nationkey)")
 def window_statistics(t: Tables) -> DataFrame:
-    w, x = Window.partitionBy("s_nationkey"), "s_acctbal"
-    return t.supplier.select("s_suppkey", F.round(F.stddev_pop(x).over(w), 4).alias("sp"), F.round(F.stddev_samp(x).over(w), 4).alias("ss"), F.round(F.var_pop(x).over(w), 3).alias("vp"), F.round(F.var_samp(x).over(w), 3).alias("vs"))
+    x = "s_acctbal"
+    found = W.per_partition(t.supplier, ["s_nationkey"], sp=F.round(F.stddev_pop(x), 4), ss=F.round(F.stddev_samp(x), 4), vp=F.round(F.var_pop(x), 3), vs=F.round(F.var_samp(x), 3))
+    return W.with_partition(t.supplier, ["s_nationkey"], found).select("s_suppkey", "sp", "ss", "vp", "vs")
 
 
 @plan("select p_partkey, round(quantile_cont(p_retailprice, 0.3) over w, 4) as c, quantile_disc(p_retailprice, 0.3) over w as d, median(p_retailprice) over w as m from part window w as (partition by p_type)")
@@ -114,8 +115,9 @@ def window_bits(t: Tables) -> DataFrame:
 @plan("""select distinct l_returnflag, round(regr_slope(l_extendedprice, l_quantity) over w, 4) as sl, round(corr(l_extendedprice, l_quantity) over w, 6) as c, round(covar_pop(l_extendedprice, l_quantity) over w, 3) as cp, regr_count(l_extendedprice, l_quantity) over w::bigint as n
 from lineitem window w as (partition by l_returnflag)""")
 def window_regression(t: Tables) -> DataFrame:
-    w, y, x = Window.partitionBy("l_returnflag"), "l_extendedprice", "l_quantity"
-    return t.lineitem.select("l_returnflag", F.round(F.regr_slope(y, x).over(w), 4).alias("sl"), F.round(F.try_divide(F.covar_pop(y, x).over(w), F.stddev_pop(y).over(w) * F.stddev_pop(x).over(w)), 6).alias("c"), F.round(F.covar_pop(y, x).over(w), 3).alias("cp"), F.regr_count(y, x).over(w).alias("n")).distinct()
+    y, x = "l_extendedprice", "l_quantity"
+    corr = F.try_divide(F.covar_pop(y, x), F.stddev_pop(y) * F.stddev_pop(x))
+    return W.per_partition(t.lineitem, ["l_returnflag"], sl=F.round(F.regr_slope(y, x), 4), c=F.round(corr, 6), cp=F.round(F.covar_pop(y, x), 3), n=F.regr_count(y, x))
 
 
 class SumOfSquares:
@@ -152,7 +154,7 @@ def window_user_analytic(t: Tables) -> DataFrame:
 
 @plan("select c_custkey, round(c_acctbal - avg(c_acctbal) over (partition by c_nationkey), 4) as gap from customer qualify rank() over (partition by c_nationkey order by c_acctbal desc) <= 3")
 def window_top_k_per_group(t: Tables) -> DataFrame:
-    mean = F.avg("c_acctbal").over(Window.partitionBy("c_nationkey"))
-    ranked = t.customer.select("c_custkey", F.round(F.col("c_acctbal") - mean, 4).alias("gap"), F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).alias("r"))
-    return ranked.where("r <= 3").drop("r")
+    ranked = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).alias("r")).where("r <= 3")
+    mean = W.per_partition(t.customer, ["c_nationkey"], mean=F.avg("c_acctbal"))
+    return W.with_partition(ranked, ["c_nationkey"], mean).select("c_custkey", F.round(F.col("c_acctbal") - F.col("mean"), 4).alias("gap"))
 

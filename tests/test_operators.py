@@ -200,3 +200,20 @@ def test_place_is_the_partition_directory(spark, tmp_path):
     df = spark.read.parquet(f"{tmp_path}/t")
     found = {r["i"]: r["p"] for r in df.select("i", tables.idb_partition(df).alias("p")).collect()}
     assert len(set(found.values())) == 4 and set(found.values()) == {f"{i}.0.1" for i in range(4)} and found[3] < found[1] < found[2]
+
+
+@pytest.mark.parametrize("name", ["window_regression", "window_statistics"])
+def test_aggregates_over_whole_partitions_gather_no_rows(spark, name):
+    from larkspur import plans
+
+    plans.load()
+    df = plans.runnable(plans.PLANS[name])(spark, "/root/testdata/sf0.001")
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+    if name == "window_regression":
+        assert "partial_covar_pop" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_null_partition_get_its_aggregates(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 5.0), (None, 7.0), (2, None)], "g int, x double")
+    found = W.with_partition(df, ["g"], W.per_partition(df, ["g"], m=F.avg("x"), n=F.count("x")))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, 2.0, 3.0, 2), (1, 4.0, 3.0, 2), (None, 5.0, 6.0, 2), (None, 7.0, 6.0, 2), (2, None, None, 0)], key=repr)
