@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.session import cut
+
 #: A side is broadcast only when its estimate (compressed files, some times that in memory) is at most this large; above it adaptive execution decides by the size at run time.
 BROADCAST_BYTES = 10 << 20
 
@@ -32,6 +35,45 @@ def equi_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Column | li
     return left.join(right, on, how)
 
 
+#: Rows of each side in a block of ``less_join``, pairs that a task takes on average, tasks at most, bands of values.
+BLOCK_ROWS, TASK_PAIRS, MOST_TASKS, BANDS = 1 << 13, 1 << 25, 10_000, 16
+
+
+def less_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], less: tuple[Column, Column]) -> DataFrame:
+    """Inner join on equal ``keys`` where ``less[0]`` of ``left`` is less than ``less[1]`` of ``right``; column names of the sides differ.
+
+    With few keys the pairs grow with the product of the sides, and a task for each key, or for each small file, would take
+    nearly all of them. So each key's sides are cut into bands of values (bounds that both sides share) and bands into blocks of
+    bounded rows by hash; tasks take pairs of blocks, as many tasks as the pairs need. Bands that cannot match are never
+    paired. Only rows that are equal in all columns cannot be parted.
+    """
+    condition = (F.col(keys[0]) == F.col(keys[1])) & (less[0] < less[1])
+    a = left.withColumn("_v", less[0]).where(F.col(keys[0]).isNotNull() & F.col("_v").isNotNull())
+    b = right.withColumn("_w", less[1]).where(F.col(keys[1]).isNotNull() & F.col("_w").isNotNull())
+    counted = lambda df, n, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
+    sums = counted(a, "_m", F.col(keys[0]).alias("_k")).join(counted(b, "_n", F.col(keys[1]).alias("_k")), "_k")
+    if (sums.agg(F.sum(F.col("_m").cast("double") * F.col("_n"))).first()[0] or 0) <= TASK_PAIRS:
+        return equi_join(left, right, condition)
+    bounds = sorted(set(b.agg(F.percentile_approx("_w", [i / BANDS for i in range(1, BANDS)])).first()[0]))
+    band = lambda x: sum(((F.col(x) >= F.lit(v)).cast("int") for v in bounds), F.lit(0))
+    a, b = a.withColumn("_i", band("_v")), b.withColumn("_j", band("_w"))
+    sides = counted(a, "_m", F.col(keys[0]).alias("_k"), "_i"), counted(b, "_n", F.col(keys[1]).alias("_l"), "_j")
+    blocks = cut(sides[0].join(sides[1], (F.col("_k") == F.col("_l")) & (F.col("_i") <= F.col("_j"))))
+    pairs = blocks.agg(F.sum(F.col("_m").cast("double") * F.col("_n"))).first()[0] or 0
+    tasks = min(max(math.ceil(pairs / TASK_PAIRS), left.sparkSession.sparkContext.defaultParallelism), MOST_TASKS)
+    pieces = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), pieces(n) - 1))
+    one_of = lambda df, n: F.pmod(F.xxhash64(*df.columns), pieces(n)).cast("int")
+    at = ("_k", "_i", "_p", "_j", "_q")
+    meets = blocks.select("_k", "_m", "_n", F.col("_i").alias("_bi"), F.col("_j").alias("_bj"))
+    x = a.join(meets, (F.col(keys[0]) == F.col("_k")) & (F.col("_i") == F.col("_bi")))
+    x = x.select(*left.columns, "_v", "_k", "_i", one_of(left, "_m").alias("_p"), F.col("_bj").alias("_j"), all_of("_n").alias("_q")).repartition(tasks, *at)
+    y = b.join(meets, (F.col(keys[1]) == F.col("_k")) & (F.col("_j") == F.col("_bj")))
+    y = y.select(*right.columns, "_w", "_k", F.col("_bi").alias("_i"), all_of("_m").alias("_p"), "_j", one_of(right, "_n").alias("_q")).toDF(*right.columns, "_w", *[f"_r{c}" for c in at]).repartition(tasks, *[f"_r{c}" for c in at])
+    same = [F.col(c) == F.col(f"_r{c}") for c in at]
+    return x.join(y.hint("shuffle_hash"), [*same, F.col("_v") < F.col("_w")]).select(*left.columns, *right.columns)
+
+
 def semi(left: DataFrame, right: DataFrame, on: Sequence[str] | Column) -> DataFrame:
     return equi_join(left, right, on, "left_semi")
 

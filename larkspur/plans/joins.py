@@ -86,7 +86,8 @@ def join_compound_self_theta(t: Tables) -> DataFrame:
 
 @plan("select c.c_custkey, s.s_suppkey from customer c join supplier s on c.c_nationkey = s.s_nationkey and c.c_acctbal < s.s_acctbal - 5000")
 def join_circular_residual(t: Tables) -> DataFrame:
-    return R.equi_join(t.customer, t.supplier, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") < F.col("s_acctbal") - 5000)).select("c_custkey", "s_suppkey")
+    customers, suppliers = t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
+    return R.less_join(customers, suppliers, ("c_nationkey", "s_nationkey"), (F.col("c_acctbal"), F.col("s_acctbal") - 5000)).select("c_custkey", "s_suppkey")
 
 
 @plan("select r_name, p_type from region, (select distinct p_type from part)")

@@ -217,3 +217,18 @@ def test_rows_of_a_null_partition_get_its_aggregates(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 5.0), (None, 7.0), (2, None)], "g int, x double")
     found = W.with_partition(df, ["g"], W.per_partition(df, ["g"], m=F.avg("x"), n=F.count("x")))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, 2.0, 3.0, 2), (1, 4.0, 3.0, 2), (None, 5.0, 6.0, 2), (None, 7.0, 6.0, 2), (2, None, None, 0)], key=repr)
+
+
+def test_pairs_of_one_key_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(R, "TASK_PAIRS", 10_000)
+    nan = float("nan")
+    left = [(i, 1 if i % 10 else None if i % 20 else i % 3, (i * 7919) % 1000 / 10) for i in range(900)] + [(900, 1, None), (901, 1, nan), (902, 1, 5.0), (903, 1, 5.0)]
+    right = [(i, 1 if i % 10 else i % 4, (i * 104_729) % 1000 / 10) for i in range(700)] + [(700, 1, None), (701, 1, nan), (702, 1, 5.0), (703, None, 50.0)]
+    a, b = spark.createDataFrame(left, "a int, k int, v double"), spark.createDataFrame(right, "b int, l int, w double")
+    found = R.less_join(a, b, ("k", "l"), (F.col("v"), F.col("w") - 1)).select("a", "b")
+    big = lambda v: (1, 0.0) if v != v else (0, v)  # noqa: E731  NaN is the largest
+    want = sorted((i, j) for i, k, v in left for j, m, w in right if k is not None and k == m and v is not None and w is not None and big(v) < big(w - 1))
+    assert sorted(map(tuple, found.collect())) == want
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) < len(want) / 5
